@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import crosssplit, matching, neardup
 
 
 def queries() -> dict:
-    return {"p5_found": neardup.found}
+    return {
+        "p3_found": crosssplit.found,
+        "p3_report": crosssplit.report,
+        "p5_found": neardup.found,
+        "p7_found": matching.found,
+        "p7_matches": matching.all_matches,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
