@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +45,19 @@ def cut(df: DataFrame) -> DataFrame:
             where = tempfile.mkdtemp(prefix="parley-checkpoint-")
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of ``spark``, once per context, through Spark's own file server."""
+    sc = spark.sparkContext
+    if getattr(sc, "_parley_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    where = tempfile.mkdtemp(prefix="parley-ship-")  # the driver's own; executors fetch from the driver
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    name = Path(where) / "parley_package.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(name))
+    sc._parley_shipped = True
