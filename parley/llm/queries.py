@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from . import crosssplit, matching, neardup
+from . import collapse, conversations, crosssplit, defects, matching, neardup, repetition, truncation
 
 
 def queries() -> dict:
     return {
+        "p1_found": conversations.found,
+        "p2_found": defects.found,
+        "p2_labels": defects.labels,
         "p3_found": crosssplit.found,
         "p3_report": crosssplit.report,
+        "p4_found": collapse.found,
+        "p4_groups": collapse.distinct_records,
         "p5_found": neardup.found,
+        "p6_found": truncation.found,
+        "p6_rates": truncation.rates,
         "p7_found": matching.found,
         "p7_matches": matching.all_matches,
+        "p10_found": repetition.found,
+        "p10_repetition": repetition.repetition,
+        "p10_fertility": repetition.bands,
     }
 
 
