@@ -1,11 +1,454 @@
-"""queries() and oracle_sql() of the core operators."""
+"""queries() and oracle_sql() of the core operators, over whole tables.
+
+Corpora: convai2_conversations (cv), personachat_dialogs (pc), synthetic_chats (sy) and the mapping persona_mapping.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dialogs, personas, text
+from ..operators import compare, mapping, profile
+from ..sources import checkpoints, numbered
+from ..sources.corpus import table
+from ..streaming import resume
+from . import jobs, sql
+
+CV, PC, SY, PM = "convai2_conversations", "personachat_dialogs", "synthetic_chats", "persona_mapping"
+CV_IDS = {"your_persona_id": "your_persona", "partner_persona_id": "partner_persona"}
+PC_IDS = {"your_persona_id": "your_persona_original", "partner_persona_id": "partner_persona_original"}
+SY_IDS = {"persona-1-id": "user 1 personas", "persona-2-id": "user 2 personas"}
+PC_PAIRS = [("your_persona_original", "your_persona_revised"), ("partner_persona_original", "partner_persona_revised")]
+SHARDS = 7
+
+#: An invented matrix of jobs for the query over it.
+CONFIG = {
+    "output_root": "out", "split": "train", "persona_id_column": "persona-id", "image_column": "persona-image",
+    "generation_params": {"width": 1024, "height": 1024, "seed": 42},
+    "datasets": {k: {"repo_id": f"corpora/{k}-mapping", "columns": {"original": o, "enhanced": e}} for k, o, e in (("alpha", "description", "enhanced_description"), ("beta", "persona_revised", "enhanced_persona_revised"), ("gamma", "persona_revised", "enhanced_persona_revised"))},
+    "models": {"m1": {"repo_id": "models/one", "dataset_suffix": "ONE"}, "m2": {"repo_id": "models/two", "dataset_suffix": "TWO"}, "m3": {"repo_id": "models/three", "dataset_suffix": "THREE", "generation_params": {"seed": 7, "plain": True}}},
+}
+
+
+def split_name(c: Column) -> Column:
+    s = F.lower(F.trim(c))
+    return F.when(s == "valid", "validation").otherwise(s)
+
+
+def cv(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, CV)
+    return t.select("row_index", split_name(F.col("source_split")).alias("split"), F.col("your_persona").alias("one"), F.col("partner_persona").alias("two"), dialogs.turns_of(F.col("turns")).alias("turns"))
+
+
+def pc(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, PC)
+    return t.select("row_index", "split", personas.lenient_list(F.col("your_persona_revised")).alias("one"), personas.lenient_list(F.col("partner_persona_revised")).alias("two"), dialogs.turns_of_json(F.col("dialog")).alias("turns"))
+
+
+def both_personas(df: DataFrame) -> DataFrame:
+    return df.select("split", "row_index", F.explode(F.array("one", "two")).alias("persona"))
+
+
+def keys(df: DataFrame) -> DataFrame:
+    return both_personas(df).select(personas.comparable_key(F.col("persona")).alias("key"))
+
+
+def sentences(df: DataFrame) -> DataFrame:
+    return df.select(F.explode(F.flatten(F.array(F.coalesce("one", F.array()), F.coalesce("two", F.array())))).alias("sentence")).select(text.strip(F.col("sentence")).alias("sentence")).where("sentence <> ''")
+
+
+def dialog_rows(df: DataFrame, expanded: bool = True) -> DataFrame:
+    """(id, split, dialog, one, two): keys of a corpus' rows."""
+    k = dialogs.expanded_key if expanded else dialogs.raw_key
+    key = lambda c: personas.comparable_key(F.col(c)).alias(c)
+    return df.select(F.col("row_index").alias("id"), "split", k(F.col("turns")).alias("dialog"), key("one"), key("two"))
+
+
+# ---- sizes and schema ----------------------------------------------------------------------------------------------
+
+
+def split_counts(spark: SparkSession, d: str) -> DataFrame:
+    return profile.split_sizes({"convai2": cv(spark, d), "personachat": pc(spark, d), "synthetic": table(spark, d, SY)})
+
+
+def schema_listing(spark: SparkSession, d: str) -> DataFrame:
+    return profile.schema_listing(spark, {n: table(spark, d, n) for n in (CV, PC, SY, PM)})
+
+
+# ---- identities, mappings, checks ----------------------------------------------------------------------------------
+
+
+def persona_ids_flat(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.enrich(table(spark, d, SY), personas.flat_text, SY_IDS).select("row_index", F.col("`persona-1-id`").alias("one_id"), F.col("`persona-2-id`").alias("two_id"))
+
+
+def persona_ids_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.enrich(table(spark, d, PC), personas.ordered_text, PC_IDS).select("row_index", *PC_IDS)
+
+
+def persona_ids_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.enrich(table(spark, d, CV), personas.canonical_text, CV_IDS).select("row_index", *CV_IDS)
+
+
+def persona_ids_comparable(spark: SparkSession, d: str) -> DataFrame:
+    return pc(spark, d).select("row_index", personas.comparable_key(F.col("one")).alias("one_key"), personas.comparable_key(F.col("two")).alias("two_key"))
+
+
+def persona_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.mapping(table(spark, d, CV), personas.canonical_text, list(CV_IDS.values())).withColumnRenamed("persona-id", "persona_id")
+
+
+def persona_mapping_flat(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.mapping(table(spark, d, SY), personas.flat_text, list(SY_IDS.values()), "description").withColumnRenamed("persona-id", "persona_id")
+
+
+def persona_mapping_paired(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.paired_mapping(table(spark, d, PC), personas.ordered_text, PC_PAIRS).withColumnRenamed("persona-id", "persona_id")
+
+
+def mapping_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.conflicts(table(spark, d, PC), personas.ordered_text, PC_PAIRS)
+
+
+def enriched_via_join(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, CV)
+    m = mapping.mapping(t, personas.canonical_text, list(CV_IDS.values()))
+    return mapping.enrich_by_join(t, personas.canonical_text, CV_IDS, m).select("row_index", *CV_IDS)
+
+
+def enrichment_integrity(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, CV)
+    e = mapping.enrich(t, personas.canonical_text, CV_IDS)
+    m = mapping.mapping(t, personas.canonical_text, list(CV_IDS.values()))
+    return mapping.integrity(t, e, CV_IDS, m, personas.canonical_text)
+
+
+def identity_collisions(spark: SparkSession, d: str) -> DataFrame:
+    p = both_personas(cv(spark, d)).select(personas.canonical(F.col("persona")).alias("form")).where("form is not null")
+    return mapping.collisions(p.select("form", F.array_join("form", " ").alias("text")))
+
+
+def mapping_coverage(spark: SparkSession, d: str) -> DataFrame:
+    e = mapping.enrich(table(spark, d, PC), personas.ordered_text, PC_IDS)
+    out = mapping.coverage(e, list(PC_IDS), table(spark, d, PM))
+    return out.select("n_ids", "n_missing", F.array_join("first_missing", ",").alias("first_missing"))
+
+
+def attach_problems(spark: SparkSession, d: str) -> DataFrame:
+    m = mapping.paired_mapping(table(spark, d, PC), personas.ordered_text, PC_PAIRS)
+    return mapping.attach_problems(m, table(spark, d, PM))
+
+
+def attached_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The latest answer of each id, attached to the mapping of personachat; ids without one stay null."""
+    m = mapping.paired_mapping(table(spark, d, PC), personas.ordered_text, PC_PAIRS)
+    v = checkpoints.last_write(table(spark, d, PM).where("`persona-id` is not null").select(F.col("`persona-id`").alias("persona-id"), "row_index", "enhanced_persona_revised"), ["row_index"], "persona-id")
+    return m.join(v, "persona-id", "left").select(F.col("persona-id").alias("persona_id"), "enhanced_persona_revised")
+
+
+def persona_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Where a strict reader of convai2's personas would stop."""
+    p = table(spark, d, CV).select("row_index", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in CV_IDS.values()))).alias("p"))
+    v = F.col("p.v")
+    kind = F.when(v.isNull(), "no list").when(F.size(v) == 0, "empty list").when(F.exists(v, lambda s: s.isNull()), "null sentence").when(F.exists(v, lambda s: text.strip(s) == ""), "blank sentence")
+    return p.select("row_index", "p.column", kind.alias("kind")).where("kind is not null")
+
+
+# ---- comparison ------------------------------------------------------------------------------------------------------
+
+
+def overlap_stats(spark: SparkSession, d: str) -> DataFrame:
+    return compare.overlap(keys(cv(spark, d)), keys(pc(spark, d)))
+
+
+def _sy_keys(spark: SparkSession, d: str) -> DataFrame:
+    lines = lambda c: F.split(F.col(f"`{c}`"), r"\r\n|\r|\n")
+    return keys(table(spark, d, SY).select("split", "row_index", lines("user 1 personas").alias("one"), lines("user 2 personas").alias("two")))
+
+
+def three_way_difference(spark: SparkSession, d: str) -> DataFrame:
+    return compare.set_except(keys(cv(spark, d)), keys(pc(spark, d)), _sy_keys(spark, d))
+
+
+def set_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return compare.set_intersect(sentences(cv(spark, d)), sentences(pc(spark, d)))
+
+
+def set_except(spark: SparkSession, d: str) -> DataFrame:
+    return compare.set_except(sentences(cv(spark, d)), sentences(pc(spark, d)))
+
+
+def set_union(spark: SparkSession, d: str) -> DataFrame:
+    return compare.set_union(sentences(cv(spark, d)), sentences(pc(spark, d)))
+
+
+def _match_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    strict = lambda c: personas.strict_list(F.col(c))
+    b = table(spark, d, PC).select(F.explode(F.array(strict("your_persona_revised"), strict("partner_persona_revised"))).alias("persona"))
+    return tuple(x.where(personas.usable(F.col("persona"))).select("persona") for x in (both_personas(cv(spark, d)), b))
+
+
+def staged_match(spark: SparkSession, d: str) -> DataFrame:
+    return compare.staged(*_match_sides(spark, d), personas.STAGES)
+
+
+def staged_match_relaxed(spark: SparkSession, d: str) -> DataFrame:
+    """The stage with compatibility forms: each distinct sentence goes through the UDF once, and lists are put together again."""
+    sides = []
+    for side in _match_sides(spark, d):
+        lists = side.distinct().select(F.xxhash64("persona").alias("h1"), F.xxhash64("persona", F.lit(1)).alias("h2"), F.explode("persona").alias("s"))
+        forms = lists.select("s").distinct().withColumn("form", personas.relaxed(F.col("s")))
+        sides.append(lists.join(forms, "s").groupBy("h1", "h2").agg(F.array_sort(F.collect_list("form")).alias("persona")))
+    return compare.staged(*sides, {"relaxed": lambda p: p})
+
+
+def staged_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The three smallest personas that only one corpus has, as bulleted text."""
+    a, b = (s.select(F.array_sort(personas.stripped(F.col("persona"))).alias("p")) for s in _match_sides(spark, d))
+    only = compare.smallest(a.subtract(b).select(text.bullets(F.col("p")).alias("persona")), "persona").withColumn("side", F.lit("convai2"))
+    return only.unionByName(compare.smallest(b.subtract(a).select(text.bullets(F.col("p")).alias("persona")), "persona").withColumn("side", F.lit("personachat")))
+
+
+def dialog_key_raw(spark: SparkSession, d: str) -> DataFrame:
+    return pc(spark, d).select("row_index", dialogs.raw_key(F.col("turns")).alias("dialog_key"))
+
+
+def dialog_key_expanded(spark: SparkSession, d: str) -> DataFrame:
+    return cv(spark, d).select("row_index", dialogs.expanded_key(F.col("turns")).alias("dialog_key"))
+
+
+def contraction_expand(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_turns_exploded(spark, d).select("row_index", "turn_id", text.expand_contractions(F.col("text")).alias("text"), text.expand_contractions(F.col("response")).alias("response"))
+
+
+def _presence(spark: SparkSession, d: str, expanded: bool) -> DataFrame:
+    a, b = (dialog_rows(f(spark, d), expanded).withColumnRenamed("dialog", "key") for f in (cv, pc))
+    return compare.presence(a, b).withColumn("corpus", F.lit("convai2")).unionByName(compare.presence(b, a).withColumn("corpus", F.lit("personachat")))
+
+
+def dialog_presence(spark: SparkSession, d: str) -> DataFrame:
+    return _presence(spark, d, False)
+
+
+def dialog_presence_expanded(spark: SparkSession, d: str) -> DataFrame:
+    return _presence(spark, d, True)
+
+
+def dialog_overlap_validation(spark: SparkSession, d: str) -> DataFrame:
+    return compare.overlap(*(dialog_rows(f(spark, d), False).where("split = 'validation'").withColumnRenamed("dialog", "key") for f in (cv, pc)))
+
+
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(dialog_rows(f(spark, d)).select(personas.pair_key(F.col("one"), F.col("two")).alias("pair"), "dialog") for f in (cv, pc))
+
+
+def pair_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return compare.overlap(*_pairs(spark, d), key="pair")
+
+
+def pair_dialog_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return compare.pairs_with_shared_dialogs(*_pairs(spark, d))
+
+
+def persona_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return compare.agreement(dialog_rows(pc(spark, d)), dialog_rows(cv(spark, d)))
+
+
+def fuzzy_buckets(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (dialog_rows(f(spark, d)).join(f(spark, d).select(F.col("row_index").alias("id"), dialogs.expanded_text(F.col("turns")).alias("text")), "id") for f in (pc, cv))
+    return compare.likeness_buckets(a, b)
+
+
+def first_occurrence(spark: SparkSession, d: str) -> DataFrame:
+    rows = dialog_rows(cv(spark, d)).select("dialog", "id")
+    return compare.first_occurrence(rows, "dialog", [F.col("id")], F.col("id"))
+
+
+def top_examples(spark: SparkSession, d: str) -> DataFrame:
+    return compare.smallest(compare.set_intersect(sentences(cv(spark, d)), sentences(pc(spark, d))), "sentence")
+
+
+def first_turns(spark: SparkSession, d: str) -> DataFrame:
+    return cv(spark, d).where(F.size("turns") > 0).select("row_index", F.to_json(F.transform(F.slice("turns", 1, 2), lambda t: F.struct(t["text"].alias("text"), t["response"].alias("response")))).alias("preview"))
+
+
+# ---- dialogues and numbered text -------------------------------------------------------------------------------------
+
+
+def conversation_turns_exploded(spark: SparkSession, d: str) -> DataFrame:
+    return cv(spark, d).select("row_index", F.posexplode("turns").alias("turn_id", "t")).select("row_index", "turn_id", "t.text", "t.response")
+
+
+def message_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns from message rows: a user's message and the assistant's that follows it directly, by number, without system rows."""
+    from pyspark.sql import Window
+
+    m = table(spark, d, "chat_messages").where("turn_id is not null and text is not null").groupBy("conversation_id", "turn_id").agg(F.min_by(F.struct(F.lower(F.trim("role")).alias("role"), "text"), "message_id").alias("m")).select("conversation_id", "turn_id", "m.*").where("role <> 'system'")
+    nxt = lambda c: F.lead(c).over(Window.partitionBy("conversation_id").orderBy("turn_id"))
+    pairs = m.select("*", nxt("role").alias("next_role"), nxt("text").alias("response")).where("role = 'user' and next_role = 'assistant'")
+    return pairs.select("conversation_id", "turn_id", "text", "response")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """convai2 as numbered lines: each conversation with all parts, one text of lines per split and block of 512 rows."""
+    c = cv(spark, d).where((F.size("one") > 0) & (F.size("two") > 0) & (F.size("turns") > 0))
+    clean = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"[\t\r\n\x0B\x0C\x1C-\x1E\x85  ]", " ")
+    c = c.select(F.concat_ws("-", F.col("split"), F.floor(F.col("row_index") / 512).cast("string")).alias("split"), "row_index", F.transform("one", clean).alias("your_persona"), F.transform("two", clean).alias("partner_persona"), F.transform("turns", lambda t: F.struct(clean(t["text"]).alias("text"), clean(t["response"]).alias("response"))).alias("turns"))
+    from pyspark.sql import Window
+
+    lines = numbered.write_lines(c, "row_index")
+    return lines.select("split", F.row_number().over(Window.partitionBy("split").orderBy("order", "at")).cast("long").alias("line_no"), "value")
+
+
+def line_numbered_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    p = numbered.parse(_lines(spark, d), "both_revised_no_cands")
+    return p.select("source_split", "conversation_id", F.array_join("your_persona", "|").alias("your_persona"), F.array_join("partner_persona", "|").alias("partner_persona"), F.size("turns").alias("n_turns"), F.array_join(F.transform("turns", lambda t: F.concat_ws("~", t["turn_id"].cast("string"), t["text"], t["response"])), "|").alias("turns"))
+
+
+def line_kind_counts(spark: SparkSession, d: str) -> DataFrame:
+    return numbered.line_kinds(_lines(spark, d))
+
+
+def parse_violations(spark: SparkSession, d: str) -> DataFrame:
+    return numbered.violations(_lines(spark, d)).select("split", "line_no", "kind")
+
+
+# ---- profile -----------------------------------------------------------------------------------------------------------
+
+UNIQUE = [("your_persona_original", "partner_persona_original"), ("your_persona_revised", "partner_persona_revised"), ("your_persona_revised", "dialog"), ("dialog", "enhancer")]
+DEPENDENT = [("persona-id", "persona_revised"), ("persona_original", "persona_revised"), ("persona-id", "enhancer")]
+
+
+def pair_uniqueness(spark: SparkSession, d: str) -> DataFrame:
+    return profile.pair_uniqueness(table(spark, d, PC), UNIQUE)
+
+
+def functional_dependency(spark: SparkSession, d: str) -> DataFrame:
+    return profile.functional_dependency(table(spark, d, PM), DEPENDENT)
+
+
+def fd_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return profile.dependency_conflicts(table(spark, d, PM), DEPENDENT)
+
+
+def missingness(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, PC)
+    return profile.missingness(t, [c for c in t.columns if "persona" in c])
+
+
+def missingness_nested(spark: SparkSession, d: str) -> DataFrame:
+    return profile.missingness(table(spark, d, CV), ["your_persona", "partner_persona", "turns", "source_split"])
+
+
+def invalid_rows(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, PC)
+    return profile.invalid_rows(t, "row_index", [c for c in t.columns if "persona" in c]).select("row_index", F.array_join("columns", ",").alias("columns"))
+
+
+def empty_personas(spark: SparkSession, d: str) -> DataFrame:
+    p = pc(spark, d)
+    return profile.empty_personas(p, {"one": personas.comparable(F.col("one")), "two": personas.comparable(F.col("two"))}, ["split", "row_index"])
+
+
+# ---- shards, checkpoints, prompts ------------------------------------------------------------------------------------
+
+
+def shard_balance(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, PM).groupBy(resume.shard_of(F.col("row_index"), SHARDS).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def shard_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All rows, shard by shard."""
+    t, out = table(spark, d, PM), None
+    for k in range(SHARDS):
+        part = resume.shard(t, SHARDS, k).select(F.lit(k).alias("shard"), "row_index", F.col("`persona-id`").alias("persona_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """A checkpoint as a run would have left it: every answered row once, reruns again in a later shard, rows without answer not at all."""
+    t = table(spark, d, PM).where("enhanced_persona_revised is not null")
+    once = t.select("row_index", F.lit(0).alias("shard"), F.col("row_index").alias("line_no"), F.col("enhanced_persona_revised").alias("value"))
+    again = t.where("enhancer = 'pe-7b-rerun'").select("row_index", F.lit(1).alias("shard"), F.col("row_index").alias("line_no"), F.concat(F.lit("again: "), F.col("enhanced_persona_revised")).alias("value"))
+    return once.unionByName(again)
+
+
+def checkpoint_last_write(spark: SparkSession, d: str) -> DataFrame:
+    return checkpoints.last_write(_written(spark, d), ["shard", "line_no"])
+
+
+def resume_pending(spark: SparkSession, d: str) -> DataFrame:
+    return checkpoints.pending(table(spark, d, PM).select("row_index"), checkpoint_last_write(spark, d))
+
+
+def missing_rows_preview(spark: SparkSession, d: str) -> DataFrame:
+    return checkpoints.missing(table(spark, d, PM).select("row_index"), checkpoint_last_write(spark, d)).select("n_missing", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first"))
+
+
+def merge_complete(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, PM).where("enhanced_persona_revised is not null").select("row_index", F.col("`persona-id`").alias("persona_id"))
+    return checkpoints.merge(rows, checkpoint_last_write(spark, d))
+
+
+def prompt_template(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, PM).select("row_index", text.text_prompt(F.col("persona_revised")).alias("prompt"))
+
+
+def prompt_variant(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, PM).select("row_index", F.explode(F.array(F.struct(F.lit("original").alias("variant"), F.col("persona_revised").alias("text")), F.struct(F.lit("enhanced").alias("variant"), F.col("enhanced_persona_revised").alias("text")))).alias("v"))
+    return t.select("row_index", "v.variant", text.image_prompt(F.col("v.text"), F.col("v.variant")).alias("prompt"), text.image_prompt(F.col("v.text")).alias("always_prefixed"))
+
+
+def clean_output(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, PM).select("row_index", text.clean_output(F.col("enhanced_persona_revised")).alias("cleaned"))
+
+
+def _stub() -> Callable[[str], str]:
+    def predict(prompt: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise ValueError("stub failure")
+        return f"<answer>{prompt.upper()}</answer>"
+
+    return predict
+
+
+def stub_enhance(spark: SparkSession, d: str) -> DataFrame:
+    """The text stage with a stub model that fails on prompts whose length is a multiple of seven."""
+    out = resume.enhanced(table(spark, d, PM), text.text_prompt(F.col("persona_original")), _stub, text.clean_output)
+    return out.select("row_index", "enhanced_description", F.col("error").isNotNull().alias("failed"))
+
+
+def image_paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, PM).select("row_index", text.image_name(F.col("row_index")).alias("image_path"), text.shard_name(SHARDS, resume.shard_of(F.col("row_index"), SHARDS)).alias("shard_dir"))
+
+
+def job_matrix(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(i, j.source, j.target, j.model, j.variant, j.prompt_column, int(jobs.sampling(j.params)["seed"]), int(jobs.sampling(j.params)["num_inference_steps"])) for i, j in enumerate(jobs.matrix(CONFIG))]
+    return spark.createDataFrame(rows, "ordinal int, source string, target string, model string, variant string, prompt_column string, seed int, steps int")
+
+
+def json_persona_parse(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("partner_persona_revised")
+    return table(spark, d, PC).select("row_index", F.array_join(personas.strict_list(c), "|", "None").alias("strict"), F.array_join(personas.lenient_list(c), "|").alias("lenient"))
+
+
+QUERIES = (
+    overlap_stats, split_counts, schema_listing, persona_ids_flat, persona_ids_ordered, persona_ids_canonical, persona_ids_comparable, persona_mapping, persona_mapping_flat, persona_mapping_paired,
+    mapping_conflicts, enriched_via_join, enrichment_integrity, identity_collisions, mapping_coverage, attach_problems, attached_answers, persona_violations, three_way_difference, set_intersect, set_except,
+    set_union, staged_match, staged_match_relaxed, staged_examples, dialog_key_raw, dialog_key_expanded, contraction_expand, dialog_presence, dialog_presence_expanded, dialog_overlap_validation, pair_overlap,
+    pair_dialog_overlap, persona_agreement, fuzzy_buckets, first_occurrence, top_examples, first_turns, conversation_turns_exploded, message_turns, line_numbered_roundtrip, line_kind_counts, parse_violations,
+    pair_uniqueness, functional_dependency, fd_conflicts, missingness, missingness_nested, invalid_rows, empty_personas, shard_balance, shard_rows, checkpoint_last_write, resume_pending, missing_rows_preview,
+    merge_complete, prompt_template, prompt_variant, clean_output, stub_enhance, image_paths, job_matrix, json_persona_parse,
+)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle()
