@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collapse, conversations, crosssplit, defects, matching, neardup, repetition, truncation
+from . import collapse, conversations, crosssplit, defects, matching, mixing, neardup, packing, repetition, truncation
 
 
 def queries() -> dict:
@@ -19,6 +19,10 @@ def queries() -> dict:
         "p6_rates": truncation.rates,
         "p7_found": matching.found,
         "p7_matches": matching.all_matches,
+        "p8_packing": packing.packing,
+        "p8_unused": packing.unused,
+        "p9_uses": mixing.uses,
+        "p9_shares": mixing.shares,
         "p10_found": repetition.found,
         "p10_repetition": repetition.repetition,
         "p10_fertility": repetition.bands,
