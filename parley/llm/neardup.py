@@ -120,10 +120,11 @@ def _sets(rid: np.ndarray, texts: list[str | None]) -> pa.RecordBatch:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: texts with an equal band, each pair once. Nothing is capped; a crowded band is split by AQE."""
+    """(a, b), a < b: texts with an equal band, each pair once. Nothing is capped; a crowded band is split by AQE.
+
+    Both sides of the join read the same exchange, so bands are computed and shuffled once.
+    """
     bands = reps.select("rid", "talk").mapInArrow(corpora.by_batches(_banded), "band long, rid long")
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bands = bands.repartition(n, "band")
     left, right = bands.select("band", F.col("rid").alias("a")), bands.select("band", F.col("rid").alias("b"))
     return left.join(right, "band").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
 
