@@ -8,29 +8,34 @@ from pyspark.sql import functions as F
 from ..functions.udfs import sequence_ratio
 
 
-def overlap(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
-    """(size_a, size_b, size_both, only_a, only_b, size_union, jaccard) of the distinct keys; jaccard is 0 for two empty sets.
+def _overlaps(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Overlap statistics of the distinct keys k of both sides, one row for each combination of ``by``.
 
-    Null keys are no keys. One shuffle: both sides are marked, united and grouped, with partial aggregation before.
+    One shuffle of keys: both sides are marked, united and grouped, partly before the shuffle. Null keys are no keys.
     """
-    mark = lambda df, x, y: df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.lit(x).alias("a"), F.lit(y).alias("b"))
-    g = mark(a, 1, 0).unionByName(mark(b, 0, 1)).groupBy("k").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    s = g.agg(*(F.coalesce(F.sum(e), F.lit(0)).cast("long").alias(n) for n, e in (("size_a", F.col("a")), ("size_b", F.col("b")), ("size_both", F.col("a") * F.col("b")))))
+    mark = lambda df, x, y: df.where("k is not null").select(*by, "k", F.lit(x).alias("a"), F.lit(y).alias("b"))
+    g = mark(a, 1, 0).unionByName(mark(b, 0, 1)).groupBy(*by, "k").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    sums = [F.coalesce(F.sum(e), F.lit(0)).cast("long").alias(n) for n, e in (("size_a", F.col("a")), ("size_b", F.col("b")), ("size_both", F.col("a") * F.col("b")))]
+    s = g.groupBy(*by).agg(*sums) if by else g.agg(*sums)
     union = F.col("size_a") + F.col("size_b") - F.col("size_both")
-    return s.select("size_a", "size_b", "size_both", (F.col("size_a") - F.col("size_both")).alias("only_a"), (F.col("size_b") - F.col("size_both")).alias("only_b"), union.alias("size_union"), F.coalesce(F.try_divide("size_both", union), F.lit(0.0)).alias("jaccard"))
+    return s.select(*by, "size_a", "size_b", "size_both", (F.col("size_a") - F.col("size_both")).alias("only_a"), (F.col("size_b") - F.col("size_both")).alias("only_b"), union.alias("size_union"), F.coalesce(F.try_divide("size_both", union), F.lit(0.0)).alias("jaccard"))
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
+    """(size_a, size_b, size_both, only_a, only_b, size_union, jaccard) of the distinct keys; jaccard is 0 for two empty sets."""
+    return _overlaps(*(df.select(F.col(key).alias("k")) for df in (a, b)), [])
 
 
 def staged(a: DataFrame, b: DataFrame, stages: dict, column: str = "persona") -> DataFrame:
     """overlap() of the distinct forms of ``column`` at each stage (name -> Column rule), with the coverage of each side.
 
-    Coverage is null for an empty side.
+    All stages in one pass and one shuffle of 128-bit hashes of the forms. Coverage is null for an empty side; a stage
+    without any form has no row.
     """
-    out = None
-    for name, rule in stages.items():
-        row = overlap(a.select(rule(F.col(column)).alias("key")), b.select(rule(F.col(column)).alias("key")))
-        row = row.select(F.lit(name).alias("stage"), "*", F.try_divide(F.col("size_both") * 100.0, "size_a").alias("coverage_a"), F.try_divide(F.col("size_both") * 100.0, "size_b").alias("coverage_b"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    form = lambda n, rule: F.struct(F.lit(n).alias("stage"), F.struct(F.xxhash64(rule(F.col(column))).alias("h1"), F.xxhash64(rule(F.col(column)), F.lit(1)).alias("h2")).alias("k"))
+    sides = (df.where(F.col(column).isNotNull()).select(F.explode(F.array(*(form(n, r) for n, r in stages.items()))).alias("x")).select("x.*") for df in (a, b))
+    out = _overlaps(*sides, ["stage"])
+    return out.select("*", F.try_divide(F.col("size_both") * 100.0, "size_a").alias("coverage_a"), F.try_divide(F.col("size_both") * 100.0, "size_b").alias("coverage_b"))
 
 
 def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
