@@ -19,6 +19,8 @@ from . import shingles
 CORPORA = ("convai2", "personachat")
 #: Most rows that are ever broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Most row pairs into which a pair of classes of exact copies is multiplied out.
+EXPANDED = 10_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -127,12 +129,36 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b) over all rows from pairs over representatives; ``members`` is (rid, rep) without the representatives."""
-    m = members.select("rep", "rid")
-    for side in ("a", "b"):
-        pairs = pairs.unionByName(pairs.join(m, pairs[side] == m["rep"]).withColumn(side, F.col("rid")).drop("rep", "rid"))
-    return pairs
+def class_sizes(members: DataFrame) -> DataFrame:
+    """(rep, n): the number of rows of each class with copies."""
+    return members.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("n"))
+
+
+def expand(pairs: DataFrame, *sides: DataFrame) -> DataFrame:
+    """(a, b) over all rows from pairs over representatives, each row pair once.
+
+    ``sides`` are the members (rid, rep) of a's and of b's classes, without the representatives; one for both will do.
+    Every copy of one class is paired with every copy of the other up to EXPANDED pairs of two classes. Larger classes
+    of exact copies are not multiplied out: each copy is paired with the other class's representative, so the result
+    grows with the rows and still tells all links.
+    """
+    of = dict(zip("ab", sides * 2 if len(sides) == 1 else sides))
+    for side, members in of.items():
+        pairs = pairs.join(class_sizes(members).select(F.col("rep").alias(side), F.col("n").alias(f"n{side}")), side, "left")
+    pairs = pairs.select("a", "b", (F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)) <= EXPANDED).alias("whole"))
+    m = {side: members.select(F.col("rep").alias("_rep"), F.col("rid").alias("_rid")) for side, members in of.items()}
+    of_a = pairs.join(m["a"], F.col("a") == F.col("_rep")).select(F.col("_rid").alias("a"), "b", "whole")
+    every_a = pairs.unionByName(of_a)
+    of_b = lambda df: df.join(m["b"], F.col("b") == F.col("_rep")).select("a", F.col("_rid").alias("b"))
+    return every_a.select("a", "b").unionByName(of_b(every_a.where("whole"))).unionByName(of_b(pairs.where("not whole")))
+
+
+def among(members: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the rows of each class: all pairs up to EXPANDED of them, else the representative with each copy."""
+    sized = members.join(class_sizes(members), "rep").withColumn("whole", F.col("n") * F.col("n") <= 2 * EXPANDED)
+    m = members.select("rep", F.col("rid").alias("b"))
+    inner = sized.where("whole").join(m, "rep").where("rid < b").select(F.col("rid").alias("a"), "b")
+    return members.select(F.col("rep").alias("a"), F.col("rid").alias("b")).unionByName(inner)
 
 
 def named(pairs: DataFrame) -> DataFrame:

@@ -166,8 +166,14 @@ def found(spark: SparkSession, sf_dir: str, threshold: float = 0.6) -> DataFrame
     """p5_found: (corpus, row_a, row_b) of one corpus whose triples share at least ``threshold`` of their union."""
     rows = corpora.talks(spark, sf_dir).withColumn("side", F.lit(0))
     pairs, members = similar(rows, threshold)
-    exact = members.select(F.col("rep").alias("a"), F.col("rid").alias("b"))
-    every = corpora.expand(pairs.select("a", "b"), members)
-    m = members.select("rep", F.col("rid").alias("b"))
-    among = members.join(m, "rep").where("rid < b").select(F.col("rid").alias("a"), "b")
-    return corpora.named(every.unionByName(exact).unionByName(among))
+    return corpora.named(corpora.expand(pairs.select("a", "b"), members).unionByName(corpora.among(members)))
+
+
+def classes(spark: SparkSession, sf_dir: str, threshold: float = 0.6) -> DataFrame:
+    """p5_classes: (corpus, row_index, class_row, links), one row per usable record: the smallest row with the same words, and its number of similar other texts."""
+    rows = corpora.talks(spark, sf_dir).withColumn("side", F.lit(0))
+    pairs, members = similar(rows, threshold)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    out = rows.select("rid").join(members, "rid", "left").withColumn("rep", F.coalesce("rep", "rid")).join(links, "rep", "left")
+    name = F.when(F.col("rid") % 2 == 0, corpora.CORPORA[0]).otherwise(corpora.CORPORA[1]).alias("corpus")
+    return out.select(name, F.shiftright("rid", 1).alias("row_index"), F.shiftright("rep", 1).alias("class_row"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -15,6 +15,7 @@ def queries() -> dict:
         "p4_found": collapse.found,
         "p4_groups": collapse.distinct_records,
         "p5_found": neardup.found,
+        "p5_classes": neardup.classes,
         "p6_found": truncation.found,
         "p6_rates": truncation.rates,
         "p7_found": matching.found,

@@ -169,3 +169,26 @@ def test_matching(spark):
 def test_bare_text_hides_contractions():
     assert shingles.WORD.findall(matching.bare("I’m sure it's what I don't want, won't")) == shingles.WORD.findall(matching.bare("i am sure it is what i do not want, will not"))
     assert matching.sentences("[1") == [] and matching.sentences(None) == [] and matching.sentences('["a", 1]') == ["a"]
+
+
+def test_copies_are_multiplied_out_up_to_a_bound(spark, monkeypatch):
+    members = spark.createDataFrame([(10, 1), (11, 1), (20, 2), (21, 2), (22, 2)], "rid long, rep long")
+    pairs = spark.createDataFrame([(1, 2), (3, 2), (3, 4)], "a long, b long")
+    one, two = {1, 10, 11}, {2, 20, 21, 22}
+    full = {(a, b) for a in one | {3} for b in two} | {(3, 4)}
+    got = [tuple(r) for r in corpora.expand(pairs, members).collect()]
+    assert len(got) == len(full) and set(got) == full
+    inner = [tuple(r) for r in corpora.among(members).collect()]
+    assert set(inner) == {(a, b) for s in (one, two) for a in s for b in s if a < b} and len(inner) == 9
+    monkeypatch.setattr(corpora, "EXPANDED", 5)
+    got = [tuple(r) for r in corpora.expand(pairs, members).collect()]
+    star = {(1, b) for b in two} | {(a, 2) for a in one} | {(3, b) for b in two} | {(3, 4)}
+    assert len(got) == len(star) and set(got) == star
+    assert {tuple(r) for r in corpora.among(members).collect()} == {(1, 10), (1, 11), (10, 11), (2, 20), (2, 21), (2, 22)}
+
+
+def test_classes(spark, tmp_path):
+    texts = ["a b c d e f g h", "A b c d, e f g h", "a b c d e f g x", "q r s t u v", None]
+    d = tables(spark, tmp_path, texts, ["train"] * 5)
+    got = {(r["corpus"], r["row_index"]): (r["class_row"], r["links"]) for r in neardup.classes(spark, d).collect()}
+    assert got[("convai2", 0)] == got[("convai2", 1)] == (0, 1) and got[("convai2", 2)] == (2, 1) and got[("convai2", 3)] == (3, 0) and ("convai2", 4) not in got
