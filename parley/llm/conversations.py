@@ -21,7 +21,7 @@ from .corpora import load
 
 #: Spellings of the roles, without case, punctuation and white space.
 ROLES = {
-    "user": ("user", "human", "usr", "customer", "person", "client", "enduser", "prompter", "questioner", "me", "you"),
+    "user": ("user", "human", "usr", "customer", "person", "client", "enduser", "prompter", "questioner"),
     "assistant": ("assistant", "asst", "gpt", "chatgpt", "bot", "chatbot", "ai", "aiassistant", "model", "agent", "llm", "machine"),
     "system": ("system", "sys", "systemprompt", "developer"),
 }

@@ -135,7 +135,7 @@ def class_sizes(members: DataFrame) -> DataFrame:
 
 
 def expand(pairs: DataFrame, *sides: DataFrame) -> DataFrame:
-    """(a, b) over all rows from pairs over representatives, each row pair once.
+    """Pairs (a, b, …) over all rows from pairs over representatives, each row pair once; other columns go along.
 
     ``sides`` are the members (rid, rep) of a's and of b's classes, without the representatives; one for both will do.
     Every copy of one class is paired with every copy of the other up to EXPANDED pairs of two classes. Larger classes
@@ -143,14 +143,16 @@ def expand(pairs: DataFrame, *sides: DataFrame) -> DataFrame:
     grows with the rows and still tells all links.
     """
     of = dict(zip("ab", sides * 2 if len(sides) == 1 else sides))
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
     for side, members in of.items():
         pairs = pairs.join(class_sizes(members).select(F.col("rep").alias(side), F.col("n").alias(f"n{side}")), side, "left")
-    pairs = pairs.select("a", "b", (F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)) <= EXPANDED).alias("whole"))
+    pairs = pairs.select("a", "b", *rest, (F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)) <= EXPANDED).alias("whole"))
     m = {side: members.select(F.col("rep").alias("_rep"), F.col("rid").alias("_rid")) for side, members in of.items()}
-    of_a = pairs.join(m["a"], F.col("a") == F.col("_rep")).select(F.col("_rid").alias("a"), "b", "whole")
-    every_a = pairs.unionByName(of_a)
-    of_b = lambda df: df.join(m["b"], F.col("b") == F.col("_rep")).select("a", F.col("_rid").alias("b"))
-    return every_a.select("a", "b").unionByName(of_b(every_a.where("whole"))).unionByName(of_b(pairs.where("not whole")))
+    of_a = pairs.join(m["a"], F.col("a") == F.col("_rep")).select(F.col("_rid").alias("a"), "b", *rest, "whole", F.lit(True).alias("copy"))
+    every_a = pairs.withColumn("copy", F.lit(False)).unionByName(of_a)
+    both = every_a.where("whole or not copy")  # of larger classes only the representative meets the other's copies
+    of_b = both.join(m["b"], F.col("b") == F.col("_rep")).select("a", F.col("_rid").alias("b"), *rest)
+    return every_a.select("a", "b", *rest).unionByName(of_b)
 
 
 def among(members: DataFrame) -> DataFrame:
