@@ -18,7 +18,8 @@ UNIT = "\u001f"
 def strict_list(c: Column) -> Column:
     """The strings of a JSON list; null unless the text is a list of strings only and nothing else."""
     is_list = F.schema_of_variant(F.try_parse_json(c)).isin("ARRAY<STRING>", "ARRAY<VOID>")
-    return F.when(is_list, F.from_json(c, "array<string>"))
+    parsed = F.from_json(c, "array<string>")
+    return F.when(is_list & ~F.exists(parsed, lambda s: s.isNull()), parsed)
 
 
 def lenient_list(c: Column) -> Column:
