@@ -42,13 +42,21 @@ def test_checkpoint_reading(spark, tmp_path):
         checkpoints.read_text(spark, str(p)).collect()
 
 
-def build():
-    def predict(prompt):
-        if prompt.endswith("p3"):
-            raise RuntimeError("no")
-        return f"<answer>{prompt[-2:]}!</answer>"
+def stub():
+    """A model; nested, since workers cannot import this file."""
 
-    return predict
+    def build():
+        def predict(prompt):
+            if prompt.endswith("p3"):
+                raise RuntimeError("no")
+            return f"<answer>{prompt[-2:]}!</answer>"
+
+        return predict
+
+    return build
+
+
+build = stub()
 
 
 def test_text_run_resumes_and_falls_back(spark, tmp_path):
