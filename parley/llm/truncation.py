@@ -19,9 +19,9 @@ from . import endings
 from .corpora import load
 
 FIELDS = ("your_enhanced_persona_revised", "partner_enhanced_persona_revised")
-#: Powers of two up to which prefixes are hashed; a text longer than twice the last is compared from there on in full.
-POWERS = range(2, 21)
-#: Lists that must end alike before an ending that no list has inside counts as complete.
+#: Powers of two up to which prefixes are hashed, from one character on; a text longer than twice the last is compared from there on in full.
+POWERS = range(21)
+#: Different lists that must end alike before an ending that no list has inside counts as complete.
 ENDINGS = 2
 
 
@@ -47,7 +47,7 @@ def looked(rows: DataFrame) -> DataFrame:
 
 
 def strict_prefixes(short: DataFrame, long: DataFrame) -> DataFrame:
-    """The distinct texts of ``short`` (text) that are strict prefixes of a text in ``long`` (text), at least four characters long."""
+    """The distinct texts of ``short`` (text) that are strict prefixes of a text in ``long`` (text); the empty text is none."""
     size = F.length("text")
     power = F.greatest(F.lit(POWERS[0]), F.least(F.lit(POWERS[-1]), F.floor(F.log2(size)).cast("int")))
     s = short.where(size >= 1 << POWERS[0]).distinct().withColumn("p", power).select("text", F.xxhash64("p", F.expr("substring(text, 1, shiftleft(1, p))")).alias("key"))
@@ -59,12 +59,12 @@ def strict_prefixes(short: DataFrame, long: DataFrame) -> DataFrame:
 def complete_items(seen: DataFrame) -> DataFrame:
     """(last): list endings that are complete items.
 
-    Complete is what stands inside a list somewhere, and what several lists end in without being a strict prefix of a
-    longer item anywhere.
+    Complete is what stands inside a list somewhere, and what several different lists end in without being a strict
+    prefix of a longer item anywhere. Copies of a list count once.
     """
     lists = seen.where("kind = 'list' and last <> ''")
     inner = lists.select(F.explode("inner").alias("text")).distinct()
-    last = lists.groupBy(F.col("last").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    last = lists.groupBy(F.col("last").alias("text")).agg(F.count_distinct(F.xxhash64("inner")).alias("n"))
     whole = last.join(inner, "text", "left_semi").select("text")
     common = last.where(F.col("n") >= ENDINGS).select("text").join(inner, "text", "left_anti")
     common = common.join(strict_prefixes(common, inner.union(last.select("text"))), "text", "left_anti")

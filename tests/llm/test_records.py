@@ -93,6 +93,20 @@ def test_stopped_values(spark):
     assert truncation.judged(d.limit(0)).count() == 0
 
 
+def test_short_fragments_are_stopped(spark):
+    """Fragments of one to three letters are stopped however often they recur, and copies of a list prove nothing."""
+    whole = ["red hat, long coat, sharp focus", "long coat, red hat, sharp focus", "red hat, blue sky, 3d", "blue sky, long coat, 3d", "long coat, pearl ring, red hat"]
+    cut_off = ["red hat, long coat, s", "blue sky, red hat, s", "red hat, long coat, pe", "blue sky, red hat, pe", "long coat, red hat, blu", "red hat, long coat, blu", "red hat, blue sky, odd thing", "Red hat,  blue sky, odd thing"]
+    d = spark.createDataFrame(list(enumerate(whole + cut_off)), "id long, text string")
+    got = {r["id"] for r in truncation.judged(d).collect() if r["stopped"]}
+    assert got == set(range(len(whole), len(whole) + len(cut_off)))
+
+
+def test_prefixes_of_any_length(spark):
+    d = spark.createDataFrame([(t,) for t in ("a", "ab", "abc", "abd", "b", "", "bcd")], "text string")
+    assert {r[0] for r in truncation.strict_prefixes(d, d).collect()} == {"a", "ab", "b"}
+
+
 def test_strict_prefixes(spark):
     rng = random.Random(1)
     texts = {"".join(rng.choice("ab ") for _ in range(rng.randrange(4, 12))) for _ in range(200)} | {"x" * 5000, "x" * 4999, "abcd"}
