@@ -19,8 +19,8 @@ from . import shingles
 CORPORA = ("convai2", "personachat")
 #: Most rows that are ever broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
-#: Most row pairs into which a pair of classes of exact copies is multiplied out.
-EXPANDED = 10_000
+#: Most row pairs into which a pair of classes of exact copies is multiplied out; None is all, as the queries need.
+EXPANDED: int | None = None
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -138,28 +138,32 @@ def expand(pairs: DataFrame, *sides: DataFrame) -> DataFrame:
     """Pairs (a, b, …) over all rows from pairs over representatives, each row pair once; other columns go along.
 
     ``sides`` are the members (rid, rep) of a's and of b's classes, without the representatives; one for both will do.
-    Every copy of one class is paired with every copy of the other up to EXPANDED pairs of two classes. Larger classes
-    of exact copies are not multiplied out: each copy is paired with the other class's representative, so the result
-    grows with the rows and still tells all links.
+    Every copy of one class is paired with every copy of the other. With EXPANDED set, classes of more pairs are not
+    multiplied out: each copy is paired with the other class's representative only.
     """
     of = dict(zip("ab", sides * 2 if len(sides) == 1 else sides))
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    for side, members in of.items():
-        pairs = pairs.join(class_sizes(members).select(F.col("rep").alias(side), F.col("n").alias(f"n{side}")), side, "left")
-    pairs = pairs.select("a", "b", *rest, (F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)) <= EXPANDED).alias("whole"))
+    whole = F.lit(True)
+    if EXPANDED is not None:
+        for side, members in of.items():
+            pairs = pairs.join(class_sizes(members).select(F.col("rep").alias(side), F.col("n").alias(f"n{side}")), side, "left")
+        whole = F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)) <= EXPANDED
+    pairs = pairs.select("a", "b", *rest, whole.alias("whole"))
     m = {side: members.select(F.col("rep").alias("_rep"), F.col("rid").alias("_rid")) for side, members in of.items()}
     of_a = pairs.join(m["a"], F.col("a") == F.col("_rep")).select(F.col("_rid").alias("a"), "b", *rest, "whole", F.lit(True).alias("copy"))
     every_a = pairs.withColumn("copy", F.lit(False)).unionByName(of_a)
-    both = every_a.where("whole or not copy")  # of larger classes only the representative meets the other's copies
+    both = every_a.where("whole or not copy")  # of classes beyond EXPANDED only the representative meets the other's copies
     of_b = both.join(m["b"], F.col("b") == F.col("_rep")).select("a", F.col("_rid").alias("b"), *rest)
     return every_a.select("a", "b", *rest).unionByName(of_b)
 
 
 def among(members: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the rows of each class: all pairs up to EXPANDED of them, else the representative with each copy."""
-    sized = members.join(class_sizes(members), "rep").withColumn("whole", F.col("n") * F.col("n") <= 2 * EXPANDED)
+    """(a, b), a < b, of the rows of each class: all pairs, or beyond EXPANDED of them the representative with each copy."""
+    sized = members
+    if EXPANDED is not None:
+        sized = members.join(class_sizes(members), "rep").where(F.col("n") * F.col("n") <= 2 * EXPANDED)
     m = members.select("rep", F.col("rid").alias("b"))
-    inner = sized.where("whole").join(m, "rep").where("rid < b").select(F.col("rid").alias("a"), "b")
+    inner = sized.join(m, "rep").where("rid < b").select(F.col("rid").alias("a"), "b")
     return members.select(F.col("rep").alias("a"), F.col("rid").alias("b")).unionByName(inner)
 
 

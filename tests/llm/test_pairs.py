@@ -187,6 +187,28 @@ def test_copies_are_multiplied_out_up_to_a_bound(spark, monkeypatch):
     assert {tuple(r) for r in corpora.among(members).collect()} == {(1, 10), (1, 11), (10, 11), (2, 20), (2, 21), (2, 22)}
 
 
+def test_hot_copies_are_all_paired(spark, tmp_path):
+    """Classes of copies with more than 10,000 row pairs, beside a near copy and a row on its own."""
+    base = " ".join(VOCABULARY[:40])
+    texts = [base] * 240 + [base + " more words here", "quite another text about nothing at all", None]
+    splits = ["train"] * 120 + ["test"] * 119 + ["valid"] + ["train"] + ["test"] * 2
+    d = tables(spark, tmp_path, texts, splits)
+    ok = {"convai2": [i for i in range(241) if i % 9], "personachat": list(range(241))}
+    held = {c: [i for i in rows if splits[i] != "train"] for c, rows in ok.items()}
+    train = {c: [i for i in rows if splits[i] == "train"] for c, rows in ok.items()}
+    want = {(c, min(i, j), max(i, j)) for c in ok for i in held[c] for j in train[c]}
+    got = [tuple(r) for r in crosssplit.found(spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    report = {(r["corpus"], r["split"]): (r["rows"], r["rows_in_train"], r["pairs"]) for r in crosssplit.report(spark, d).collect()}
+    n = lambda c, s: sum(splits[i] == s for i in held[c])
+    assert report == {(c, name): (sum(x == s and t is not None for x, t in zip(splits, texts)), n(c, s), n(c, s) * len(train[c])) for c in ok for name, s in (("test", "test"), ("validation", "valid"))}
+    got = [tuple(r) for r in neardup.found(spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(c, i, j) for c in ok for i in range(241) for j in range(i + 1, 241)}
+    talk = json.dumps([{"text": "hello there my dear friend", "response": "well hello to you too"}])
+    rows = [(i, json.dumps(["i like tea."]), json.dumps(["i like jam."]), talk) for i in range(2 * 110)]
+    assert matching.matches(spark.createDataFrame(rows, "rid long, yours string, partners string, talk string")).count() == 110**2
+
+
 def test_classes(spark, tmp_path):
     texts = ["a b c d e f g h", "A b c d, e f g h", "a b c d e f g x", "q r s t u v", None]
     d = tables(spark, tmp_path, texts, ["train"] * 5)
