@@ -121,6 +121,31 @@ def test_cross_split_pairs_are_all_found(spark, tmp_path, monkeypatch, filter_bi
     assert sum(r["pairs"] for r in report) == len(want)
 
 
+def test_cross_split_pairs_of_any_edit(spark, tmp_path):
+    """Insertions, deletions and moved parts lose more runs of words than substitutions do at the same share of triples."""
+    rng = random.Random(11)
+    texts, splits = [], []
+    for k in range(24):
+        base = [f"t{k}x{i}" for i in range(102)]
+        copy = list(base)
+        if k % 3 == 0:
+            for i in range(15):
+                copy.insert(6 + 7 * i, f"new{k}x{i}")  # each loses two triples and four runs of five
+        elif k % 3 == 1:
+            copy = [w for i, w in enumerate(base) if i % 10 != 5]
+        else:
+            parts = [base[i : i + 8] for i in range(0, len(base), 8)]
+            rng.shuffle(parts)
+            copy = [w for part in parts for w in part]
+        texts += [" ".join(base), " ".join(copy)]
+        splits += ["test", "train"]
+    d = tables(spark, tmp_path, texts, splits)
+    sets = [triples(t) for t in texts]
+    want = {(i, i + 1) for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.7 * len(sets[i]) - 1e-9}
+    got = {(r["row_a"], r["row_b"]) for r in crosssplit.found(spark, d).where("corpus = 'personachat'").collect()}
+    assert got == want and len(want) >= 20
+
+
 def test_empty_tables(spark, tmp_path):
     d = tables(spark, tmp_path, [], [])
     assert neardup.found(spark, d).count() == 0 and crosssplit.found(spark, d).count() == 0
