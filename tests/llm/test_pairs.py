@@ -191,6 +191,21 @@ def test_matching(spark):
     assert matching.matches(df.limit(0)).count() == 0
 
 
+def test_matching_with_one_persona(spark):
+    """One persona is missing or quite another, a sentence of the other is dropped, and no two utterances in a row are left after the opening."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(6):
+        one, two = ([f"i like {rng.choice(VOCABULARY)} and {rng.choice(VOCABULARY)} on day {n}." for n in range(i * 9, i * 9 + 4)] for _ in range(2))
+        u = conversation(rng, 12)
+        noisy = [x if k % 2 else x + " oh" for k, x in enumerate(u)]
+        other = (None, [], ["my cat sleeps.", "my dog runs.", "my car is red."])[i % 3]
+        for c, (p, q, talk) in enumerate(((one, two, u), (other, one[1:], noisy) if i < 3 else (one[1:], other, noisy))):
+            rows.append((i * 2 + c, json.dumps(p), None if q is None else json.dumps(q), json.dumps([{"text": a, "response": b} for a, b in zip(talk[::2], talk[1::2])])))
+    got = matching.matches(spark.createDataFrame(rows, "rid long, yours string, partners string, talk string")).collect()
+    assert {(r["convai2_row"], r["personachat_row"]) for r in got} == {(i, i) for i in range(6)} and {r["rule"] for r in got} == {matching.RULES[-1]}
+
+
 def test_bare_text_hides_contractions():
     assert shingles.WORD.findall(matching.bare("I’m sure it's what I don't want, won't")) == shingles.WORD.findall(matching.bare("i am sure it is what i do not want, will not"))
     assert matching.sentences("[1") == [] and matching.sentences(None) == [] and matching.sentences('["a", 1]') == ["a"]
