@@ -97,7 +97,7 @@ def votes(prompt: str | None, answer: str | None) -> dict[str, str]:
     stand_in = plain in STAND_INS or re.fullmatch(r"n\W?a", text.strip(" \"'()[]<>.").lower()) is not None
     out["empty"] = vote(True if not plain else None if stand_in else False, stand_in or not plain, len(plain) < 12, True if not (answer or "").strip() else None)
 
-    able, sorry = bool(_CANNOT.search(text[:400])), bool(_SORRY.search(text))
+    able, sorry = bool(_CANNOT.search(text)), bool(_SORRY.search(text))
     quoted = text[:1] in "\"“”'‘«" and not sorry or bool(re.match(r"[\"“”][^\"“”]*[\"“”]", text))
     out["refusal"] = vote(sorry and not quoted, able and not quoted, None if len(words) <= 45 else False, bool(_TASK.search(text)) and (bool(_SELF.search(text)) or sorry or able) and not quoted, False if quoted or not words else None)
 

@@ -147,6 +147,11 @@ def test_defects(spark):
     assert defects.label(d.limit(0)).count() == 0
 
 
+def test_late_refusal_is_voted():
+    answer = "The persona says: " + "a man waits in the hall with a red hat. " * 12 + "I cannot create a description of this person."
+    assert len(answer) > 450 and defects.votes(PROMPT, answer)["refusal"][1] == "1"
+
+
 def test_label_model_weighs_votes():
     patterns, counts = ["111", "000", "100", "011", "---"], np.array([50, 900, 30, 10, 10.0])
     q = defects.fit(patterns, counts)
