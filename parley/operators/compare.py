@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import both, hash64, list_hash
 from ..functions.udfs import sequence_ratio
 
 
@@ -32,7 +33,7 @@ def staged(a: DataFrame, b: DataFrame, stages: dict, column: str = "persona") ->
     All stages in one pass and one shuffle of 128-bit hashes of the forms. Coverage is null for an empty side; a stage
     without any form has no row.
     """
-    form = lambda n, rule: F.struct(F.lit(n).alias("stage"), F.struct(F.xxhash64(rule(F.col(column))).alias("h1"), F.xxhash64(rule(F.col(column)), F.lit(1)).alias("h2")).alias("k"))
+    form = lambda n, rule: F.struct(F.lit(n).alias("stage"), F.struct(*both(list_hash, rule(F.col(column)))).alias("k"))
     sides = (df.where(F.col(column).isNotNull()).select(F.explode(F.array(*(form(n, r) for n, r in stages.items()))).alias("x")).select("x.*") for df in (a, b))
     out = _overlaps(*sides, ["stage"])
     return out.select("*", F.try_divide(F.col("size_both") * 100.0, "size_a").alias("coverage_a"), F.try_divide(F.col("size_both") * 100.0, "size_b").alias("coverage_b"))
@@ -89,7 +90,7 @@ def likeness_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     exact = b.where("dialog is not null").select("dialog").distinct()
     rest = a.join(exact, "dialog", "left_anti")
-    block = F.xxhash64(F.least("one", "two"), F.greatest("one", "two"))
+    block = hash64(1, F.least("one", "two"), F.greatest("one", "two"))
     there = b.where("text is not null").select(block.alias("block"), F.col("text").alias("other")).distinct()
     mine = rest.select("id", F.coalesce("text", F.lit("")).alias("text"), block.alias("block"))
     texts = mine.select("block", "text").distinct().join(there, "block").select("block", "text", sequence_ratio("text", "other").alias("r")).groupBy("block", "text").agg(F.max("r").alias("best"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import both, hash64
 from ..functions.text import strip
 
 
@@ -30,7 +31,7 @@ def pair_uniqueness(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     All pairs in one pass: each row gives a hash per pair and the pairs' hashes are counted together.
     """
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.to_json(F.struct(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")), {"ignoreNullFields": "false"}).alias("v")) for a, b in pairs)))
-    g = df.select(each.alias("p")).select("p.one", "p.two", F.xxhash64("p.v").alias("h1"), F.xxhash64("p.v", F.lit(1)).alias("h2")).groupBy("one", "two", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    g = df.select(each.alias("p")).select("p.one", "p.two", *both(hash64, F.col("p.v"))).groupBy("one", "two", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     s = g.groupBy("one", "two").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
     return s.select("*", (F.col("n_rows") - F.col("n_distinct")).alias("n_repeated"), (F.col("n_rows") == F.col("n_distinct")).alias("is_unique"))
 

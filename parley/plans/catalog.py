@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dialogs, personas, text
+from ..functions import dialogs, hashing, personas, text
 from ..operators import compare, mapping, profile
 from ..sources import checkpoints, numbered
 from ..sources.corpus import table
@@ -200,7 +200,7 @@ def staged_match_relaxed(spark: SparkSession, d: str) -> DataFrame:
     """The stage with compatibility forms: each distinct sentence goes through the UDF once, and lists are put together again."""
     sides = []
     for side in _match_sides(spark, d):
-        lists = side.distinct().select(F.xxhash64("persona").alias("h1"), F.xxhash64("persona", F.lit(1)).alias("h2"), F.explode("persona").alias("s"))
+        lists = side.distinct().select(*hashing.both(hashing.list_hash, F.col("persona")), F.explode("persona").alias("s"))
         forms = lists.select("s").distinct().withColumn("form", personas.relaxed(F.col("s")))
         sides.append(lists.join(forms, "s").groupBy("h1", "h2").agg(F.array_sort(F.collect_list("form")).alias("persona")))
     return compare.staged(*sides, {"relaxed": lambda p: p})
