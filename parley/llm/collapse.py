@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import list_hash
 from ..session import cut
 from .corpora import load
 
@@ -35,9 +36,9 @@ def dictionary(cells: DataFrame) -> DataFrame:
     a task's rows are numbered in their partition and shifted by the counts of the partitions before it, of which
     there are as many as shuffle partitions.
     """
-    values = cells.where("value is not null").groupBy(F.xxhash64("value").alias("k1"), F.xxhash64("value", F.lit(1)).alias("k2")).agg(F.first("value").alias("value"))
+    values = cells.where("value is not null").groupBy(*(list_hash(k, F.col("value")).alias(f"k{k}") for k in (1, 2))).agg(F.first("value").alias("value"))
     forms = values.select("k1", "k2", canonical(F.col("value")).alias("form"))
-    forms = forms.where(F.size("form") > 0).select("k1", "k2", F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"))
+    forms = forms.where(F.size("form") > 0).select("k1", "k2", *(list_hash(k, F.col("form")).alias(f"f{k}") for k in (1, 2)))
     distinct = cut(forms.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("spellings")))
     part = distinct.select("f1", "f2", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     counts = sorted((r["part"], r["n"]) for r in part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per partition
@@ -53,7 +54,7 @@ def encode(rows: DataFrame) -> DataFrame:
     """(corpus, row, lo, hi): the records as integer tuples; those with a null or empty persona are left out."""
     cells = rows.select(F.explode(F.array("one", "two")).alias("value"))
     ids = cut(dictionary(cells))
-    out = rows.select("corpus", "row", *(f(F.col(c), *salt).alias(f"{c}{k}") for c in ("one", "two") for k, f, salt in ((1, F.xxhash64, ()), (2, F.xxhash64, (F.lit(1),)))))
+    out = rows.select("corpus", "row", *(list_hash(k, F.col(c)).alias(f"{c}{k}") for c in ("one", "two") for k in (1, 2)))
     for c in ("one", "two"):
         out = out.join(ids.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("id").alias(c)), [f"{c}1", f"{c}2"])
     return out.select("corpus", "row", F.least("one", "two").alias("lo"), F.greatest("one", "two").alias("hi"))

@@ -1,22 +1,25 @@
 """Conversations rebuilt from message rows (problem 1) by assembling overlapping fragments.
 
-Every delivered message belongs to fragments that overlap in one message: itself with the message before, itself with
-the message after. A message is known by the hash of its place, role and text, so redeliveries fall together. In the
-overlap graph a place that holds one message only is a node, and the suffix of one fragment is the prefix of the next
-where their places follow each other; a transition that no dialogue makes is no edge. A conversation is rebuilt if all
-of it is one unambiguous path: as many edges as messages less one, no place with two messages, and a proper beginning
-and end. A gap, a fork or a wrong turn leaves fewer edges, and the conversation is dropped.
-
-Nothing is collected per conversation: messages meet by (conversation, place), so one conversation may hold any share
-of the rows. Where there are no numbers, places are ranks by time, counted in hours and then over the hours' counts.
+A conversation's messages are exported in fragments of STEP + 1 places: each begins with the message that ends the one
+before. A message is known by a hash of its place, role and text, so redeliveries fall together before fragments are
+formed. A fragment is sound if its places follow each other without a gap or a fork and its roles take turns. Its prefix
+is its first message's hash, its suffix the last one's; where the suffix of one fragment is the prefix of another, the
+overlap graph of the conversation has an edge, if neither end has a second partner. A conversation is rebuilt if all
+of it is one unambiguous path of sound fragments, as many edges as fragments less one, with a proper beginning and end.
+A missing message leaves a fragment unsound or two fragments without an edge, and the conversation is dropped.
+
+A fragment holds at most STEP + 1 places and only sums, extremes and flags of it are kept, so one conversation may hold
+any share of the rows. Where there are no numbers, places are ranks in a distributed sort by time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import cut
+from ..sources.corpus import with_row_index
 from .corpora import load
 
 #: Spellings of the roles, without case, punctuation and white space.
@@ -25,8 +28,8 @@ ROLES = {
     "assistant": ("assistant", "asst", "gpt", "chatgpt", "bot", "chatbot", "ai", "aiassistant", "model", "agent", "llm", "machine"),
     "system": ("system", "sys", "systemprompt", "developer"),
 }
-#: Microseconds of the time slots in which ranks are counted.
-SLOT = 3_600_000_000
+#: Places by which a fragment begins after the one before.
+STEP = 8
 
 
 def role_of(c: Column) -> Column:
@@ -38,14 +41,11 @@ def role_of(c: Column) -> Column:
     return out
 
 
-def assemble(messages: DataFrame) -> DataFrame:
-    """(conversation_id, seq, role, message_id, text) of every message of each usable conversation.
+def placed(messages: DataFrame) -> DataFrame:
+    """(conversation_id, place, role, hash, message_id, numbered): the distinct messages of each conversation at their places.
 
-    ``messages`` has message_id, conversation_id, turn_id, role, text and sent_at; other columns are ignored. Rows with
-    a null conversation_id belong to no conversation. Of messages with the same place (turn_id, or sent_at without
-    it), role and text apart from outer white space the smallest message_id stays. A conversation is dropped if a role
-    or text is missing, if only some messages are numbered, if a time is null or shared where numbers are missing, or
-    if the messages are no path system? (user assistant)+ without a gap. An empty table gives an empty result.
+    ``place`` is the number, or the rank by time from 0 where the message has none; null where it has neither. Ranks
+    come from one range-partitioned sort of the unnumbered messages, shifted by each conversation's least.
     """
     body = strip(F.col("text"))
     m = messages.where("conversation_id is not null").select(
@@ -56,46 +56,91 @@ def assemble(messages: DataFrame) -> DataFrame:
         role_of(F.col("role")).alias("role"),
         F.when(body != "", F.xxhash64(body)).alias("hash"),
     )
-    nodes = m.groupBy("conversation_id", "turn", "time", "role", "hash").agg(F.min("message_id").alias("message_id"))
-
-    slots = nodes.where("turn is null").withColumn("slot", F.floor(F.col("time") / SLOT))
-    within = slots.withColumn("rank", F.rank().over(Window.partitionBy("conversation_id", "slot").orderBy("time")))
-    counts = slots.groupBy("conversation_id", "slot").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conversation_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("conversation_id", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    on = (within["conversation_id"] == offsets["conversation_id"]) & within["slot"].eqNullSafe(offsets["slot"])
-    timed = within.join(offsets, on).select(within["conversation_id"], (F.col("rank") + F.col("before")).alias("place"), "role", "hash", "message_id", F.lit(False).alias("numbered"), F.col("time").isNull().alias("lost"))
-    numbered = nodes.where("turn is not null").select("conversation_id", F.col("turn").alias("place"), "role", "hash", "message_id", F.lit(True).alias("numbered"), F.lit(False).alias("lost"))
-
-    bad = F.col("role").isNull() | F.col("hash").isNull() | F.col("lost")
-    places = numbered.unionByName(timed).groupBy("conversation_id", "place").agg(
+    nodes = cut(m.groupBy("conversation_id", "turn", "time", "role", "hash").agg(F.min("message_id").alias("message_id")))
+    kept = ["conversation_id", "role", "hash", "message_id"]
+    numbered = nodes.where("turn is not null or time is null").select(*kept, F.col("turn").alias("place"), F.col("turn").isNotNull().alias("numbered"))
+    ranked = with_row_index(nodes.where("turn is null and time is not null").select(*kept, "time"), ["conversation_id", "time", "message_id"], int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = ranked.groupBy("conversation_id", "time").agg(F.min("row_index").alias("row_index"), F.count(F.lit(1)).alias("n"))
+    least = at.groupBy("conversation_id").agg(F.min("row_index").alias("least"), F.max("n").alias("most"))
+    rank = F.when(F.col("most") == 1, F.col("row_index") - F.col("least"))  # two messages at one time have no order, hence no place
+    timed = ranked.join(least, "conversation_id").select(*kept, rank.alias("place"), F.lit(False).alias("numbered"))
+    return numbered.unionByName(timed)
+
+
+def fragments(places: DataFrame) -> DataFrame:
+    """(conversation_id, fragment, …) one row for each fragment with its prefix, its suffix and whether it is sound.
+
+    A message whose place is a multiple of STEP belongs to two fragments, the overlap. Messages without a place make
+    one unsound fragment per conversation.
+    """
+    block = F.floor(F.col("place") / STEP)
+    before = F.when((F.col("place") % STEP == 0) & (F.col("place") > 0), block - 1)
+    d = places.withColumn("fragment", F.explode(F.array_distinct(F.array(block, F.coalesce(before, block)))))
+    ident = F.xxhash64("place", "role", "hash")
+    speaker = F.col("role").isin("user", "assistant")
+    beat = F.when(speaker, F.pmod(F.col("place") + (F.col("role") == "assistant").cast("int"), F.lit(2)))
+    return d.groupBy("conversation_id", "fragment").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("role").alias("role"),
-        F.min("message_id").alias("message_id"),
-        F.max(bad).alias("bad"),
+        F.min("place").alias("first"),
+        F.max("place").alias("last"),
+        F.min_by(ident, "place").alias("prefix"),
+        F.max_by(ident, "place").alias("suffix"),
+        F.max_by("role", "place").alias("ends"),
+        F.min(beat).alias("beat_least"),
+        F.max(beat).alias("beat_most"),
+        F.max(F.when(~speaker, F.col("place"))).alias("system"),
+        F.min(F.when(speaker, F.struct("place", "role"))).alias("speaks"),
+        F.max(F.col("role").isNull() | F.col("hash").isNull() | F.col("place").isNull()).alias("bad"),
         F.min("numbered").alias("all_numbered"),
         F.max("numbered").alias("any_numbered"),
     )
-    tail, head = places.alias("t"), places.alias("h")
-    follows = (F.col("t.conversation_id") == F.col("h.conversation_id")) & (F.col("t.place") + 1 == F.col("h.place"))
-    turn_taking = F.concat_ws(">", "t.role", "h.role").isin("system>user", "user>assistant", "assistant>user")
-    edges = tail.join(head, follows).where(turn_taking & (F.col("t.n") == 1) & (F.col("h.n") == 1))
-    linked = edges.groupBy(F.col("t.conversation_id").alias("conversation_id")).agg(F.count(F.lit(1)).alias("edges"))
-    whole = places.groupBy("conversation_id").agg(
+
+
+def paths(pieces: DataFrame) -> DataFrame:
+    """(conversation_id, first) of the conversations whose fragments merge into one unambiguous path.
+
+    Only a first message at the fragment's own beginning can be another's last, and the other way round; a fragment
+    that is nothing but an overlap ends the path. Prefixes and suffixes meet by (conversation, hash); both ends and the
+    fragments' own facts are then summed by conversation, partly before the shuffle.
+    """
+    prefix = F.when((F.col("first") == F.col("fragment") * STEP) & (F.col("fragment") > 0), F.col("prefix"))
+    suffix = F.when(F.col("last") == (F.col("fragment") + 1) * STEP, F.col("suffix"))
+    both = F.array(F.struct(prefix.alias("h"), F.lit(1).alias("head"), F.lit(0).alias("tail")), F.struct(suffix.alias("h"), F.lit(0).alias("head"), F.lit(1).alias("tail")))
+    ends = pieces.select("conversation_id", F.explode(both).alias("e")).select("conversation_id", "e.*").where("h is not null")
+    met = ends.groupBy("conversation_id", "h").agg(F.sum("head").alias("heads"), F.sum("tail").alias("tails"))
+    edges = met.where("heads = 1 and tails = 1").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("edges"))
+    sound = ~F.col("bad") & (F.col("n") == F.col("last") - F.col("first") + 1)
+    whole = pieces.groupBy("conversation_id").agg(
         F.count(F.lit(1)).alias("nodes"),
-        F.max("n").alias("most"),
-        F.max("bad").alias("bad"),
+        F.min(sound).alias("sound"),
+        F.min("first").alias("first"),
+        F.max_by("ends", "last").alias("ends"),
+        F.min("beat_least").alias("beat_least"),
+        F.max("beat_most").alias("beat_most"),
+        F.max("system").alias("system"),
+        F.min("speaks").alias("speaks"),
         F.min("all_numbered").alias("all_numbered"),
         F.max("any_numbered").alias("any_numbered"),
-        F.min("place").alias("first"),
-        F.min_by("role", "place").alias("opens"),
-        F.max_by("role", "place").alias("ends"),
     )
-    usable = whole.join(linked, "conversation_id").where(
-        (F.col("edges") == F.col("nodes") - 1) & (F.col("most") == 1) & ~F.col("bad") & (F.col("all_numbered") == F.col("any_numbered"))
-        & F.col("first").isin(0, 1) & F.col("opens").isin("system", "user") & (F.col("ends") == "assistant")
-    )
-    return places.join(usable.select("conversation_id", "first"), "conversation_id").select("conversation_id", (F.col("place") - F.col("first")).cast("int").alias("seq"), "role", "message_id")
+    linked = whole.join(edges, "conversation_id", "left")
+    return linked.where(
+        (F.coalesce("edges", F.lit(0)) == F.col("nodes") - 1) & F.col("sound") & (F.col("all_numbered") == F.col("any_numbered")) & F.col("first").isin(0, 1)
+        & (F.col("beat_least") == F.col("beat_most")) & (F.col("speaks.role") == "user") & F.coalesce(F.col("system") == F.col("first"), F.lit(True)) & (F.col("ends") == "assistant")
+    ).select("conversation_id", "first")
+
+
+def assemble(messages: DataFrame) -> DataFrame:
+    """(conversation_id, seq, role, message_id) of every message of each usable conversation.
+
+    ``messages`` has message_id, conversation_id, turn_id, role, text and sent_at; other columns are ignored. Rows with
+    a null conversation_id belong to no conversation. Of messages with the same place (turn_id, or sent_at without
+    it), role and text apart from outer white space the smallest message_id stays. A conversation is dropped if a role
+    or text is missing, if only some messages are numbered, if a time is null or shared where numbers are missing, or
+    if the messages are no path system? (user assistant)+ without a gap. An empty table gives an empty result.
+    """
+    places = cut(placed(messages))
+    usable = paths(cut(fragments(places)))
+    return places.join(usable, "conversation_id").select("conversation_id", (F.col("place") - F.col("first")).cast("int").alias("seq"), "role", "message_id")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

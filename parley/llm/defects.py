@@ -147,8 +147,8 @@ def voted(rows: DataFrame) -> DataFrame:
 
     schema = "id long, " + ", ".join(f"{d} string" for d in DEFECTS) + ", kind string, last string, inner array<string>"
     seen = cut(rows.select("id", "prompt", "answer").mapInArrow(run, schema))
-    items = truncation.complete_items(seen).withColumn("known", F.lit(True))
-    seen = seen.join(items, "last", "left")
+    lists = seen.where("kind = 'list'").join(truncation.complete_items(seen).withColumn("known", F.lit(True)), "last", "left")
+    seen = lists.unionByName(seen.where("kind <> 'list'").withColumn("known", F.lit(None).cast("boolean")))  # no item, so no part in that join
     decided = F.regexp_replace("truncated", r"\?", F.when(F.col("known"), "0").otherwise("1"))
     patterns = F.array(*(F.struct(F.lit(d).alias("defect"), (decided if d == "truncated" else F.col(d)).alias("pattern")) for d in DEFECTS))
     return seen.select("id", F.explode(patterns).alias("p")).select("id", "p.defect", "p.pattern")

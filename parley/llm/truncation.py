@@ -1,9 +1,9 @@
 """Values that stop too early (problem 6): a self-join by prefix, and endings where no longer copy exists.
 
-A value or list item that is a strict prefix of a longer one elsewhere was cut. Prefixes are compared by hashes of the
-first 2^k characters: the shorter one has one key, for the largest 2^k it fills, and longer ones have a key for every
-power, so partners share at least half of the shorter text and no comparison of all pairs arises. A prose value without
-a longer copy is judged by its last sentence.
+A value or list item that is a strict prefix of a longer one elsewhere was cut, if the longer one goes on inside the
+same sentence or item. Distinct texts are sorted over all tasks: a strict prefix stands directly before a text that
+begins with it, so every text is compared with its successor only, and no prefix, however common, is a hot key. A value
+without a longer copy is judged by its last sentence, or by its last item.
 """
 
 from __future__ import annotations
@@ -11,16 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import both, hash64
 from ..session import cut
 from . import endings
-from .corpora import load
+from .corpora import load, small
 
 FIELDS = ("your_enhanced_persona_revised", "partner_enhanced_persona_revised")
-#: Powers of two up to which prefixes are hashed, from one character on; a text longer than twice the last is compared from there on in full.
-POWERS = range(21)
 #: Different lists that must end alike before an ending that no list has inside counts as complete.
 ENDINGS = 2
 
@@ -46,14 +45,28 @@ def looked(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id long, kind string, core string, finished boolean, last string, inner array<string>")
 
 
-def strict_prefixes(short: DataFrame, long: DataFrame) -> DataFrame:
-    """The distinct texts of ``short`` (text) that are strict prefixes of a text in ``long`` (text); the empty text is none."""
-    size = F.length("text")
-    power = F.greatest(F.lit(POWERS[0]), F.least(F.lit(POWERS[-1]), F.floor(F.log2(size)).cast("int")))
-    s = short.where(size >= 1 << POWERS[0]).distinct().withColumn("p", power).select("text", F.xxhash64("p", F.expr("substring(text, 1, shiftleft(1, p))")).alias("key"))
-    all_powers = F.filter(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(1 << p).alias("w")) for p in POWERS)), lambda x: x["w"] <= F.length("text"))
-    y = long.where(size > 1 << POWERS[0]).distinct().select("text", F.explode(all_powers).alias("x")).select(F.col("text").alias("longer"), F.xxhash64("x.p", F.expr("substring(text, 1, x.w)")).alias("key"))
-    return s.join(y, (s["key"] == y["key"]) & (F.length("longer") > F.length("text")) & F.startswith("longer", "text"), "left_semi").select("text")
+def continued(texts: DataFrame) -> DataFrame:
+    """(text, rest): the distinct texts of ``texts`` (text) that are strict prefixes of another, and how a longer one goes on.
+
+    ``rest`` is the next in sorted order without the common part. Copies fall together before the sort, partly before
+    the shuffle. The last text of a range is compared with the first of the next range that has any: two texts for each
+    task. Null and the empty text are no prefixes.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(texts.where("text <> ''").select("text").distinct().repartitionByRange(parts, "text").sortWithinPartitions("text").withColumn("part", F.spark_partition_id()))
+
+    def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[str] = []
+        for batch in it:
+            run = last + batch.column("text").to_pylist()
+            pairs = [(a, b[len(a) :]) for a, b in zip(run, run[1:]) if b.startswith(a)]
+            last = run[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["text", "rest"])
+
+    ends = ranged.groupBy("part").agg(F.min("text").alias("first"), F.max("text").alias("text"))
+    nxt = ends.select("text", F.lead("first").over(Window.orderBy("part")).alias("next"))  # a row for each task
+    across = nxt.where(F.startswith("next", "text")).select("text", F.expr("substring(next, length(text) + 1)").alias("rest"))
+    return ranged.select("text").mapInArrow(walk, "text string, rest string").unionByName(across)
 
 
 def complete_items(seen: DataFrame) -> DataFrame:
@@ -67,24 +80,31 @@ def complete_items(seen: DataFrame) -> DataFrame:
     last = lists.groupBy(F.col("last").alias("text")).agg(F.count_distinct(F.xxhash64("inner")).alias("n"))
     whole = last.join(inner, "text", "left_semi").select("text")
     common = last.where(F.col("n") >= ENDINGS).select("text").join(inner, "text", "left_anti")
-    common = common.join(strict_prefixes(common, inner.union(last.select("text"))), "text", "left_anti")
+    common = common.join(continued(inner.union(last.select("text"))).select("text"), "text", "left_anti")
     return whole.unionByName(common).select(F.col("text").alias("last"))
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """(id, kind, stopped, has_longer_copy) of (id, text).
 
-    Null, empty and marked-up nothing are not stopped. A value is stopped if its last sentence is incomplete (no end,
-    an end that is an abbreviation's, an open quote or bracket), or, for a list, if its last item is. ``has_longer_copy``
-    tells whether the prefix join found a longer copy of the value. Repeated values are judged alike.
+    Null, empty and marked-up nothing are not stopped. Where the prefix join finds a longer copy, it decides: a list is
+    stopped unless the longer one goes on with a comma, prose if the longer one goes on inside a word or the last
+    sentence has no end. The rest is stopped if the last sentence is incomplete (no end, an end that is an
+    abbreviation's, an open quote or bracket), or, for a list, if its last item is. Repeated values are judged alike.
     """
     seen = cut(looked(rows))
     texts = seen.where("kind <> 'none'").select(F.col("core").alias("text"))
-    copies = strict_prefixes(texts, texts).select(F.col("text").alias("core"), F.lit(True).alias("has_longer_copy"))
-    items = complete_items(seen).withColumn("known", F.lit(True))
-    out = seen.join(items, "last", "left").join(copies, "core", "left")
-    stopped = F.when(F.col("kind") == "none", False).when(F.col("kind") == "list", F.col("known").isNull()).otherwise(~F.col("finished"))
-    return out.select("id", "kind", stopped.alias("stopped"), F.coalesce("has_longer_copy", F.lit(False)).alias("has_longer_copy"))
+    inside = F.ltrim("rest").startswith(",")
+    longer = continued(texts).select(*both(hash64, F.col("text")), inside.alias("next_item"), F.col("rest").rlike(r"^[\p{L}\p{N}]").alias("in_word"))
+    hashed = seen.select("id", "kind", "finished", F.col("core").rlike(r"[\p{L}\p{N}]\z").alias("open_word"), *both(hash64, F.col("core")), "last")
+    lists = hashed.where("kind = 'list'").join(complete_items(seen).withColumn("known", F.lit(True)), "last", "left")
+    rest = hashed.where("kind <> 'list'").withColumn("known", F.lit(None).cast("boolean"))  # no item, so no part in that join
+    out = lists.unionByName(rest).join(small(cut(longer)), ["h1", "h2"], "left")
+    has = F.col("next_item").isNotNull()
+    in_list = F.when(has, ~F.col("next_item")).otherwise(F.col("known").isNull())
+    in_prose = ~F.col("finished") | (has & F.coalesce(F.col("in_word") & F.col("open_word"), F.lit(False)))
+    stopped = F.when(F.col("kind") == "none", False).when(F.col("kind") == "list", in_list).otherwise(in_prose)
+    return out.select("id", "kind", stopped.alias("stopped"), (has & (F.col("kind") != "none")).alias("has_longer_copy"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,10 @@ def test_matching(spark):
     assert {(r["convai2_row"], r["personachat_row"]) for r in got} == want
     assert all(0 < r["confidence"] < 1 for r in got) and len({r["rule"] for r in got}) >= 3
     assert matching.matches(df.limit(0)).count() == 0
+    every = matching.matches(df, exhaustive=True).collect()
+    assert {(r["convai2_row"], r["personachat_row"]) for r in every} == want
+    labels = spark.createDataFrame([(i * 2, i * 2 + 1, i % 2 == 0) for i in range(60)], "a long, b long, match boolean")
+    assert {r["confidence"] for r in matching.matches(df, labels).collect()} != {r["confidence"] for r in got}
 
 
 def test_matching_with_one_persona(spark):
@@ -203,7 +207,30 @@ def test_matching_with_one_persona(spark):
         for c, (p, q, talk) in enumerate(((one, two, u), (other, one[1:], noisy) if i < 3 else (one[1:], other, noisy))):
             rows.append((i * 2 + c, json.dumps(p), None if q is None else json.dumps(q), json.dumps([{"text": a, "response": b} for a, b in zip(talk[::2], talk[1::2])])))
     got = matching.matches(spark.createDataFrame(rows, "rid long, yours string, partners string, talk string")).collect()
-    assert {(r["convai2_row"], r["personachat_row"]) for r in got} == {(i, i) for i in range(6)} and {r["rule"] for r in got} == {matching.RULES[-1]}
+    assert {(r["convai2_row"], r["personachat_row"]) for r in got} == {(i, i) for i in range(6)} and all(r["rule"] in matching.RULES[2:5] for r in got)
+
+
+def test_common_values_are_matched_in_combination(spark, monkeypatch):
+    """No utterance is rare, so pairs come from two common ones, with a sentence where those are common as well."""
+    monkeypatch.setattr(matching, "RARE", 3)
+    rng = random.Random(4)
+    lines = [f"common line number {i} of the talk" for i in range(14)]
+    rows, want = [], set()
+    for i in range(40):
+        one, two = ([f"i like {rng.choice(VOCABULARY)} and {rng.choice(VOCABULARY)}." for _ in range(4)] for _ in range(2))
+        u = rng.sample(lines, 8)
+        talk = json.dumps([{"text": a, "response": b} for a, b in zip(u[::2], u[1::2])])
+        rows += [(i * 2, json.dumps(one), json.dumps(two), talk), (i * 2 + 1, json.dumps(one[1:] + ["new"]), json.dumps(two), talk)]
+        want.add((i, i))
+    df = spark.createDataFrame(rows, "rid long, yours string, partners string, talk string")
+    got = matching.matches(df).collect()
+    assert {(r["convai2_row"], r["personachat_row"]) for r in got} == want and {r["rule"] for r in got} == {matching.RULES[3]}
+
+
+def test_class_hashes_have_bounds(spark):
+    """Lists with their elements elsewhere are no copies."""
+    rows = [(1, [], [7], [5]), (3, [7], [], [5]), (5, [7], [5], []), (7, [], [7], [5])]
+    assert [tuple(r) for r in matching.classes(spark.createDataFrame(rows, matching.ATTRIBUTES)).collect()] == [(7, 1)]
 
 
 def test_bare_text_hides_contractions():

@@ -104,7 +104,7 @@ def test_short_fragments_are_stopped(spark):
 
 def test_prefixes_of_any_length(spark):
     d = spark.createDataFrame([(t,) for t in ("a", "ab", "abc", "abd", "b", "", "bcd")], "text string")
-    assert {r[0] for r in truncation.strict_prefixes(d, d).collect()} == {"a", "ab", "b"}
+    assert {r[0] for r in truncation.continued(d).collect()} == {"a", "ab", "b"}
 
 
 def test_strict_prefixes(spark):
@@ -112,7 +112,8 @@ def test_strict_prefixes(spark):
     texts = {"".join(rng.choice("ab ") for _ in range(rng.randrange(4, 12))) for _ in range(200)} | {"x" * 5000, "x" * 4999, "abcd"}
     d = spark.createDataFrame([(t,) for t in texts], "text string")
     want = {t for t in texts if any(y != t and y.startswith(t) for y in texts)}
-    assert {r[0] for r in truncation.strict_prefixes(d, d).collect()} == want
+    assert {r[0] for r in truncation.continued(d).collect()} == want
+    assert all(r["text"] + r["rest"] in texts and r["rest"] for r in truncation.continued(d).collect())
 
 
 PROMPT = "i ski on friday and i like the snow. my cat is old and my dog is young."
