@@ -10,6 +10,18 @@ from .text import expand_contractions, fold
 
 RECORD, UNIT = "\u001e", "\u001f"
 TURNS = "array<struct<text:string,response:string>>"
+#: Spellings of the roles, without case, punctuation and white space.
+ROLES = {
+    "user": ("user", "human", "usr", "customer", "person", "client", "enduser", "prompter", "questioner"),
+    "assistant": ("assistant", "asst", "gpt", "chatgpt", "bot", "chatbot", "ai", "aiassistant", "model", "agent", "llm", "machine"),
+    "system": ("system", "sys", "systemprompt", "developer"),
+}
+
+
+def role_of(c: Column) -> Column:
+    """user, assistant or system; null for a role that means none of them."""
+    bare = F.regexp_replace(F.lower(c), "[^a-z]", "")
+    return F.coalesce(*(F.when(bare.isin(*names), role) for role, names in ROLES.items()))
 
 
 def turns_of_json(c: Column) -> Column:

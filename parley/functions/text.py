@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,12 +66,25 @@ def expand_contractions(c: Column) -> Column:
     return collapse(F.when(F.contains(text, F.lit("'")), joined).otherwise(text))
 
 
+#: What is taken out of a model's output, in this order.
+ANSWER_TAG = "</?answer>"
+THINKING = r"<think>[\s\S]*?</think>"
+THINK_TAG = "</?think>"
+IDEOGRAPHS = r"[\u3400-\u4dbf\u4e00-\u9fff]"
+
+
 def clean_output(c: Column) -> Column:
     """A model's output without answer tags, thinking and CJK ideographs, white space collapsed."""
-    t = strip(F.regexp_replace(strip(c), r"(?iu)</?answer>", ""))
-    t = F.regexp_replace(t, r"(?iu)<think>[\s\S]*?</think>", "")
-    t = strip(F.regexp_replace(t, r"(?iu)</?think>", ""))
-    return collapse(F.regexp_replace(t, r"[\u3400-\u4dbf\u4e00-\u9fff]", ""))
+    for pattern in (ANSWER_TAG, THINKING, THINK_TAG):
+        c = F.regexp_replace(c, f"(?iu){pattern}", "")
+    return collapse(F.regexp_replace(c, IDEOGRAPHS, ""))
+
+
+def clean_text(s: str) -> str:
+    """clean_output() of a plain text, for workers that write their results themselves."""
+    for pattern in (ANSWER_TAG, THINKING, THINK_TAG):
+        s = re.sub(pattern, "", s, flags=re.I)
+    return " ".join(re.sub(IDEOGRAPHS, "", s).split())
 
 
 def text_prompt(c: Column) -> Column:

@@ -26,6 +26,25 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio_from(least: float) -> Callable[[Column, Column], Column]:
+    """As sequence_ratio where the ratio is ``least`` or more; below it, anything below it: bounds by length and letters spare the alignment."""
+
+    def ratio(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        m = difflib.SequenceMatcher(None, x, y)
+        for bound in (m.real_quick_ratio, m.quick_ratio):
+            if (r := bound()) < least:
+                return r
+        return m.ratio()
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return run
+
+
 def model(build: Callable[[], Callable[[str], str]]) -> Callable[[Column], Column]:
     """A column function ``struct<value, error>`` from a model that ``build`` makes once per Python worker.
 

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash64
 from ..functions.personas import id_of
+from ..sources.corpus import with_row_index
 
 HEX = r"\A[0-9a-f]{64}\z"
 
@@ -27,7 +29,7 @@ def texts(df: DataFrame, text_of: Callable[[Column], Column], columns: list[str]
 
 
 def mapping(df: DataFrame, text_of: Callable[[Column], Column], columns: list[str], name: str = "persona_revised") -> DataFrame:
-    """(persona-id, text): one row per distinct persona. Sort it by the text where it is written."""
+    """(persona-id, text): one row per distinct persona, in no order; in_order() gives the order of the texts."""
     return texts(df, text_of, columns).distinct().select(id_of(F.col("text")).alias("persona-id"), F.col("text").alias(name))
 
 
@@ -47,11 +49,28 @@ def conflicts(df: DataFrame, text_of: Callable[[Column], Column], columns: list[
     return g.where("n_revised > 1").withColumnRenamed("o", "persona_original")
 
 
-def enrich_by_join(df: DataFrame, text_of: Callable[[Column], Column], columns: dict[str, str], table: DataFrame, name: str = "persona_revised") -> DataFrame:
-    """As enrich(), by looking each text up in the mapping ``table``; rows whose text it lacks have a null id."""
+def in_order(table: DataFrame, name: str = "persona_revised") -> DataFrame:
+    """``table`` with a dense 0-based ``row_index`` in code-point order of its distinct texts, by a distributed sort."""
+    return with_row_index(table, [name], int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def write_mapping(table: DataFrame, path: str, name: str = "persona_revised") -> None:
+    """Replaces ``path`` by the mapping in total order of its texts, as parquet files that follow each other by name."""
+    table.orderBy(name).write.mode("overwrite").parquet(path)
+
+
+def enrich_by_join(df: DataFrame, text_of: Callable[[Column], Column], columns: dict[str, str], table: DataFrame, name: str = "persona_revised", must: bool = True) -> DataFrame:
+    """As enrich(), by looking each text up in the mapping ``table``.
+
+    A text that the mapping lacks fails the job and is named, or gives a null id without ``must``. Rows without a text
+    have a null id.
+    """
     for new, c in columns.items():
-        look = table.select(F.col(f"`{name}`").alias("_text"), F.col("`persona-id`").alias(new))
-        df = df.withColumn("_key", text_of(F.col(f"`{c}`"))).join(look, F.col("_key") == F.col("_text"), "left").drop("_key", "_text")
+        look = table.select(F.col(f"`{name}`").alias("_text"), F.col("`persona-id`").alias("_id"))
+        found = df.withColumn("_key", text_of(F.col(f"`{c}`"))).join(look, F.col("_key") == F.col("_text"), "left")
+        lost = F.col("_key").isNotNull() & F.col("_id").isNull()
+        known = F.when(lost, F.raise_error(F.concat(F.lit(f"{c} is not in the mapping: "), F.col("_key")))).otherwise(F.col("_id")) if must else F.col("_id")
+        df = found.withColumn(new, known).drop("_key", "_text", "_id")
     return df
 
 
@@ -90,7 +109,7 @@ def _all_equal(columns: dict[str, str], text_of: Callable[[Column], Column]) ->
 
 def unchanged(source: DataFrame, enriched: DataFrame, key: str) -> DataFrame:
     """(key): rows whose original columns differ between both, or that only one of them has."""
-    digest = lambda df: df.select(key, F.xxhash64(F.to_json(F.struct(*sorted(source.columns)))).alias("h"))
+    digest = lambda df: df.select(key, hash64(1, F.to_json(F.struct(*sorted(source.columns)), {"ignoreNullFields": "false"})).alias("h"))
     a, b = digest(source).alias("a"), digest(enriched).alias("b")
     out = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").where(~F.col("a.h").eqNullSafe(F.col("b.h")))
     return out.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dialogs, hashing, personas, text
 from ..operators import compare, mapping, profile
 from ..sources import checkpoints, numbered
-from ..sources.corpus import table
+from ..sources.corpus import columns_like, table, with_row_index
 from ..streaming import resume
 from . import jobs, sql
 
@@ -23,13 +23,20 @@ PC_IDS = {"your_persona_id": "your_persona_original", "partner_persona_id": "par
 SY_IDS = {"persona-1-id": "user 1 personas", "persona-2-id": "user 2 personas"}
 PC_PAIRS = [("your_persona_original", "your_persona_revised"), ("partner_persona_original", "partner_persona_revised")]
 SHARDS = 7
+#: Splits in their usual order.
+SPLITS = ("train", "validation", "test")
 
-#: An invented matrix of jobs for the query over it.
+#: An invented matrix of jobs for the query over it: two models, four sets, among them two that can't run.
 CONFIG = {
-    "output_root": "out", "split": "train", "persona_id_column": "persona-id", "image_column": "persona-image",
-    "generation_params": {"width": 1024, "height": 1024, "seed": 42},
-    "datasets": {k: {"repo_id": f"corpora/{k}-mapping", "columns": {"original": o, "enhanced": e}} for k, o, e in (("alpha", "description", "enhanced_description"), ("beta", "persona_revised", "enhanced_persona_revised"), ("gamma", "persona_revised", "enhanced_persona_revised"))},
-    "models": {"m1": {"repo_id": "models/one", "dataset_suffix": "ONE"}, "m2": {"repo_id": "models/two", "dataset_suffix": "TWO"}, "m3": {"repo_id": "models/three", "dataset_suffix": "THREE", "generation_params": {"seed": 7, "plain": True}}},
+    "output_root": "/shared/pictures", "split": "all", "persona_id_column": "pid", "image_column": "picture",
+    "generation_params": {"width": 640, "guidance_scale": 2.5, "negative_prompt": "text, frames"},
+    "models": {"sketch": {"repo_id": "lab/sketch", "dataset_suffix": "S1", "generation_params": {"seed": 11, "num_inference_steps": 8, "palette": "gray"}}, "oil": {"repo_id": "lab/oil", "dataset_suffix": "O2"}},
+    "datasets": {
+        "letters": {"repo_id": "archive/letters", "columns": {"original": "self_text", "enhanced": "self_text_long"}},
+        "diaries": {"repo_id": "archive/old/diaries", "columns": {"original": "entry", "enhanced": "entry_long"}},
+        "loose": {"repo_id": "loose", "columns": {"original": "entry", "enhanced": "entry_long"}},
+        "half": {"repo_id": "archive/half", "columns": {"original": "entry"}},
+    },
 }
 
 
@@ -114,6 +121,11 @@ def mapping_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return mapping.conflicts(table(spark, d, PC), personas.ordered_text, PC_PAIRS)
 
 
+def persona_mapping_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The mapping with the place of each row in the total order of its texts."""
+    return mapping.in_order(persona_mapping(spark, d))
+
+
 def enriched_via_join(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, CV)
     m = mapping.mapping(t, personas.canonical_text, list(CV_IDS.values()))
@@ -144,10 +156,12 @@ def attach_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attached_answers(spark: SparkSession, d: str) -> DataFrame:
-    """The latest answer of each id, attached to the mapping of personachat; ids without one stay null."""
+    """The latest answer of each id, attached to the ids of personachat's mapping that have one; the others keep null."""
     m = mapping.paired_mapping(table(spark, d, PC), personas.ordered_text, PC_PAIRS)
     v = checkpoints.last_write(table(spark, d, PM).where("`persona-id` is not null").select(F.col("`persona-id`").alias("persona-id"), "row_index", "enhanced_persona_revised"), ["row_index"], "persona-id")
-    return m.join(v, "persona-id", "left").select(F.col("persona-id").alias("persona_id"), "enhanced_persona_revised")
+    some = mapping.attach(m.join(v, "persona-id", "left_semi"), v, "enhanced_persona_revised")
+    none = m.join(v, "persona-id", "left_anti").withColumn("enhanced_persona_revised", F.lit(None).cast("string"))
+    return some.unionByName(none).select(F.col("persona-id").alias("persona_id"), "enhanced_persona_revised")
 
 
 def persona_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -226,8 +240,7 @@ def contraction_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _presence(spark: SparkSession, d: str, expanded: bool) -> DataFrame:
-    a, b = (dialog_rows(f(spark, d), expanded).withColumnRenamed("dialog", "key") for f in (cv, pc))
-    return compare.presence(a, b).withColumn("corpus", F.lit("convai2")).unionByName(compare.presence(b, a).withColumn("corpus", F.lit("personachat")))
+    return compare.presence({n: dialog_rows(f(spark, d), expanded).select("split", F.col("dialog").alias("key")) for n, f in (("convai2", cv), ("personachat", pc))})
 
 
 def dialog_presence(spark: SparkSession, d: str) -> DataFrame:
@@ -263,8 +276,15 @@ def fuzzy_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    rows = dialog_rows(cv(spark, d)).select("dialog", "id")
-    return compare.first_occurrence(rows, "dialog", [F.col("id")], F.col("id"))
+    """Where each dialogue of each corpus stands first: splits in their usual order, then rows."""
+    rows = None
+    for n, f in (("convai2", cv), ("personachat", pc)):
+        r = dialog_rows(f(spark, d)).select(F.lit(n).alias("corpus"), "split", "id", "dialog")
+        rows = r if rows is None else rows.unionByName(r)
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split")), F.lit(0)), F.lit(len(SPLITS) + 1))
+    key = F.when(F.col("dialog").isNotNull(), F.struct("corpus", "dialog"))
+    first = compare.first_occurrence(rows.withColumn("key", key), "key", [rank, F.col("id")], F.struct("split", "id"))
+    return first.select("key.corpus", "key.dialog", "first.split", F.col("first.id").alias("first"))
 
 
 def top_examples(spark: SparkSession, d: str) -> DataFrame:
@@ -272,7 +292,7 @@ def top_examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_turns(spark: SparkSession, d: str) -> DataFrame:
-    return cv(spark, d).where(F.size("turns") > 0).select("row_index", F.to_json(F.transform(F.slice("turns", 1, 2), lambda t: F.struct(t["text"].alias("text"), t["response"].alias("response")))).alias("preview"))
+    return cv(spark, d).where(F.size("turns") > 0).select("row_index", F.to_json(F.transform(F.slice("turns", 1, 2), lambda t: F.struct(t["text"].alias("text"), t["response"].alias("response"))), {"ignoreNullFields": "false"}).alias("preview"))
 
 
 # ---- dialogues and numbered text -------------------------------------------------------------------------------------
@@ -283,24 +303,40 @@ def conversation_turns_exploded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def message_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Turns from message rows: a user's message and the assistant's that follows it directly, by number, without system rows."""
-    from pyspark.sql import Window
+    """Turns from message rows: a user's message and the assistant's that follows it directly, in any spelling of the roles, without system rows.
+
+    Messages go by number, then time, then arrival; of one number the message that arrived first counts. The order
+    is one distributed sort, and a message finds the next by its place, so a long conversation is no single task.
+    """
+    m = table(spark, d, "chat_messages").where("conversation_id is not null and text is not null").select("conversation_id", "message_id", "turn_id", "sent_at", dialogs.role_of(F.col("role")).alias("role"), "text")
+    once = m.withColumn("slot", F.when(F.col("turn_id").isNull(), F.col("message_id"))).groupBy("conversation_id", "turn_id", "slot").agg(F.min_by(F.struct("message_id", "sent_at", "role", "text"), "message_id").alias("m")).select("conversation_id", "turn_id", "m.*")
+    order = ["conversation_id", "turn_id", "sent_at", "message_id"]
+    placed = with_row_index(once.where("role is null or role <> 'system'"), order, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    a, b = placed.where("role = 'user'").alias("a"), placed.where("role = 'assistant'").alias("b")
+    follows = (F.col("a.row_index") + 1 == F.col("b.row_index")) & (F.col("a.conversation_id") == F.col("b.conversation_id"))
+    return a.join(b, follows).select("a.conversation_id", "a.message_id", "a.turn_id", "a.text", F.col("b.text").alias("response"))
+
 
-    m = table(spark, d, "chat_messages").where("turn_id is not null and text is not null").groupBy("conversation_id", "turn_id").agg(F.min_by(F.struct(F.lower(F.trim("role")).alias("role"), "text"), "message_id").alias("m")).select("conversation_id", "turn_id", "m.*").where("role <> 'system'")
-    nxt = lambda c: F.lead(c).over(Window.partitionBy("conversation_id").orderBy("turn_id"))
-    pairs = m.select("*", nxt("role").alias("next_role"), nxt("text").alias("response")).where("role = 'user' and next_role = 'assistant'")
-    return pairs.select("conversation_id", "turn_id", "text", "response")
+def _conversations(spark: SparkSession, d: str) -> DataFrame:
+    """convai2 as it would be written as numbered text: white space that a line can't hold replaced, nulls empty, the split none where it is null."""
+    clean = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"[\t\r\n\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", " ")
+    c = cv(spark, d)
+    return c.select(F.coalesce("split", F.lit("none")).alias("split"), "row_index", F.transform("one", clean).alias("your_persona"), F.transform("two", clean).alias("partner_persona"), F.transform("turns", lambda t: F.struct(clean(t["text"]).alias("text"), clean(t["response"]).alias("response"))).alias("turns"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    """convai2 as numbered lines: each conversation with all parts, one text of lines per split and block of 512 rows."""
-    c = cv(spark, d).where((F.size("one") > 0) & (F.size("two") > 0) & (F.size("turns") > 0))
-    clean = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"[\t\r\n\x0B\x0C\x1C-\x1E\x85  ]", " ")
-    c = c.select(F.concat_ws("-", F.col("split"), F.floor(F.col("row_index") / 512).cast("string")).alias("split"), "row_index", F.transform("one", clean).alias("your_persona"), F.transform("two", clean).alias("partner_persona"), F.transform("turns", lambda t: F.struct(clean(t["text"]).alias("text"), clean(t["response"]).alias("response"))).alias("turns"))
-    from pyspark.sql import Window
+    """All of convai2 as numbered lines, broken conversations too."""
+    return numbered.write_lines(_conversations(spark, d), "row_index")
+
+
+#: Lines put behind every tenth conversation, by the last digit of its row, so that a parser has something to refuse; {n} is the number due.
+DAMAGE = {1: "{n} your persona: too late", 2: "{n} only one field", 3: "{n} a\tb\tc", 4: "{n} My Persona: x\ty", 5: "no number", 6: " ", 7: "99 late\tline", 8: "{n} \tonly a response", 9: "{n} partner's persona:  "}
+
 
-    lines = numbered.write_lines(c, "row_index")
-    return lines.select("split", F.row_number().over(Window.partitionBy("split").orderBy("order", "at")).cast("long").alias("line_no"), "value")
+def _damaged(spark: SparkSession, d: str) -> DataFrame:
+    """The lines with those of DAMAGE."""
+    line = F.element_at(F.create_map(*(F.lit(x) for kv in DAMAGE.items() for x in kv)), (F.col("row_index") % 10).cast("int"))
+    return numbered.write_lines(_conversations(spark, d), "row_index", line)
 
 
 def line_numbered_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -313,13 +349,13 @@ def line_kind_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_violations(spark: SparkSession, d: str) -> DataFrame:
-    return numbered.violations(_lines(spark, d)).select("split", "line_no", "kind")
+    return numbered.violations(_damaged(spark, d)).select("split", "line_no", "kind")
 
 
 # ---- profile -----------------------------------------------------------------------------------------------------------
 
 UNIQUE = [("your_persona_original", "partner_persona_original"), ("your_persona_revised", "partner_persona_revised"), ("your_persona_revised", "dialog"), ("dialog", "enhancer")]
-DEPENDENT = [("persona-id", "persona_revised"), ("persona_original", "persona_revised"), ("persona-id", "enhancer")]
+DEPENDENT = [("persona-id", "persona_revised"), ("persona_original", "persona_revised"), ("persona-id", "enhancer"), ("persona-id", "created_at")]
 
 
 def pair_uniqueness(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +372,7 @@ def fd_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 def missingness(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, PC)
-    return profile.missingness(t, [c for c in t.columns if "persona" in c])
+    return profile.missingness(t, columns_like(t, "persona"))
 
 
 def missingness_nested(spark: SparkSession, d: str) -> DataFrame:
@@ -345,7 +381,7 @@ def missingness_nested(spark: SparkSession, d: str) -> DataFrame:
 
 def invalid_rows(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, PC)
-    return profile.invalid_rows(t, "row_index", [c for c in t.columns if "persona" in c]).select("row_index", F.array_join("columns", ",").alias("columns"))
+    return profile.invalid_rows(t, "row_index", columns_like(t, "persona")).select("row_index", F.array_join("columns", ",").alias("columns"), F.array_join(F.transform("columns", lambda c: F.coalesce(F.element_at("values", c), F.lit("(null)"))), "|").alias("values"))
 
 
 def empty_personas(spark: SparkSession, d: str) -> DataFrame:
@@ -361,12 +397,8 @@ def shard_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shard_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All rows, shard by shard."""
-    t, out = table(spark, d, PM), None
-    for k in range(SHARDS):
-        part = resume.shard(t, SHARDS, k).select(F.lit(k).alias("shard"), "row_index", F.col("`persona-id`").alias("persona_id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All rows with their shard, in one scan."""
+    return table(spark, d, PM).select(resume.shard_of(F.col("row_index"), SHARDS).cast("int").alias("shard"), "row_index", F.col("`persona-id`").alias("persona_id"))
 
 
 def _written(spark: SparkSession, d: str) -> DataFrame:
@@ -411,7 +443,7 @@ def _stub() -> Callable[[str], str]:
     def predict(prompt: str) -> str:
         if len(prompt) % 7 == 0:
             raise ValueError("stub failure")
-        return f"<answer>{prompt.upper()}</answer>"
+        return f"<answer>{prompt} <think>well</think></answer>"
 
     return predict
 
@@ -427,8 +459,10 @@ def image_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def job_matrix(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(i, j.source, j.target, j.model, j.variant, j.prompt_column, int(jobs.sampling(j.params)["seed"]), int(jobs.sampling(j.params)["num_inference_steps"])) for i, j in enumerate(jobs.matrix(CONFIG))]
-    return spark.createDataFrame(rows, "ordinal int, source string, target string, model string, variant string, prompt_column string, seed int, steps int")
+    """All jobs of CONFIG with every sampling parameter."""
+    j = jobs.with_sampling(jobs.job_table(spark, CONFIG))
+    extra = F.array_join(F.array_sort(F.transform(F.map_entries("extra"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return j.select("ordinal", "source", "target", "split", "id_column", "prompt_column", "image_column", "variant", "model", *jobs.SAMPLING, "negative_prompt", extra.alias("extra"), "output", "problem")
 
 
 def json_persona_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -437,7 +471,7 @@ def json_persona_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    overlap_stats, split_counts, schema_listing, persona_ids_flat, persona_ids_ordered, persona_ids_canonical, persona_ids_comparable, persona_mapping, persona_mapping_flat, persona_mapping_paired,
+    overlap_stats, split_counts, schema_listing, persona_ids_flat, persona_ids_ordered, persona_ids_canonical, persona_ids_comparable, persona_mapping, persona_mapping_flat, persona_mapping_paired, persona_mapping_ordered,
     mapping_conflicts, enriched_via_join, enrichment_integrity, identity_collisions, mapping_coverage, attach_problems, attached_answers, persona_violations, three_way_difference, set_intersect, set_except,
     set_union, staged_match, staged_match_relaxed, staged_examples, dialog_key_raw, dialog_key_expanded, contraction_expand, dialog_presence, dialog_presence_expanded, dialog_overlap_validation, pair_overlap,
     pair_dialog_overlap, persona_agreement, fuzzy_buckets, first_occurrence, top_examples, first_turns, conversation_turns_exploded, message_turns, line_numbered_roundtrip, line_kind_counts, parse_violations,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.text import CONTRACTIONS, IMAGE_PROMPT, TEXT_PROMPT
+from ..functions.dialogs import ROLES
+from ..functions.text import ANSWER_TAG, CONTRACTIONS, IMAGE_PROMPT, TEXT_PROMPT, THINK_TAG, THINKING
 
 #: Code points of Unicode white space, as SQL text and as a class for regular expressions.
 _POINTS = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -15,6 +16,11 @@ def text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def rounded(x: str, digits: int) -> str:
+    """To the nearest by the exact value of the double, ties to even, as printing does."""
+    return f"CAST(printf('%.{digits}f', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
 def strip(x: str) -> str:
     return f"trim({x}, {WS})"
 
@@ -124,18 +130,18 @@ b AS (SELECT p FROM (SELECT {strict("your_persona_revised")} AS p FROM personach
 def overlap(a: str, b: str) -> str:
     """One row of overlap statistics over two queries of a column k."""
     return f"""SELECT size_a, size_b, size_both, size_a - size_both AS only_a, size_b - size_both AS only_b, size_a + size_b - size_both AS size_union,
-coalesce(size_both / nullif(size_a + size_b - size_both, 0), 0.0) AS jaccard FROM (SELECT
+coalesce({rounded('size_both / nullif(size_a + size_b - size_both, 0)', 4)}, 0.0) AS jaccard FROM (SELECT
 (SELECT count(DISTINCT k) FROM ({a})) AS size_a, (SELECT count(DISTINCT k) FROM ({b})) AS size_b,
 (SELECT count(*) FROM (SELECT DISTINCT k FROM ({a}) WHERE k IS NOT NULL INTERSECT SELECT DISTINCT k FROM ({b}))) AS size_both)"""
 
 
 def stage(name: str, rule: str) -> str:
-    return f"""SELECT '{name}' AS stage, *, size_both * 100.0 / nullif(size_a, 0) AS coverage_a, size_both * 100.0 / nullif(size_b, 0) AS coverage_b
+    return f"""SELECT '{name}' AS stage, *, {rounded('(size_both * 100)::DOUBLE / nullif(size_a, 0)', 2)} AS coverage_a, {rounded('(size_both * 100)::DOUBLE / nullif(size_b, 0)', 2)} AS coverage_b
 FROM ({overlap(f"SELECT {rule} AS k FROM a", f"SELECT {rule} AS k FROM b")})"""
 
 
 def presence(name: str, a: str, b: str) -> str:
-    return f"""SELECT split, count(*) AS n_keys, count(there) AS n_present, count(there) * 100.0 / count(*) AS share, '{name}' AS corpus
+    return f"""SELECT split, count(*) AS n_keys, count(there) AS n_present, {rounded('count(there)::DOUBLE / count(*) * 100', 1)} AS share, '{name}' AS corpus
 FROM (SELECT DISTINCT split, dialog FROM {a} WHERE dialog IS NOT NULL) x LEFT JOIN (SELECT DISTINCT dialog, 1 AS there FROM {b} WHERE dialog IS NOT NULL) y USING (dialog) GROUP BY split"""
 
 
@@ -161,8 +167,15 @@ def unique(a: str, b: str) -> str:
 FROM (SELECT count(*) AS n FROM personachat_dialogs GROUP BY "{a}", "{b}")"""
 
 
+_SPARK_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "TIMESTAMP": "timestamp", "TIMESTAMP WITH TIME ZONE": "timestamp", "VARCHAR[]": "array<string>", 'STRUCT(turn_id INTEGER, "text" VARCHAR, response VARCHAR)[]': "array<struct<turn_id:int,text:string,response:string>>"}
+_TABLES = ("convai2_conversations", "personachat_dialogs", "synthetic_chats", "persona_mapping")
+_SCHEMA = " UNION ALL ".join(f"""SELECT '{t}' AS dataset, column_name AS "column", CASE column_type {" ".join(f"WHEN {text(k)} THEN '{v}'" for k, v in _SPARK_TYPES.items())} ELSE column_type END AS type FROM (DESCRIBE {t})""" for t in _TABLES)
+
+
 def oracle() -> dict[str, str]:
-    pairs = [("persona-id", "persona_revised"), ("persona_original", "persona_revised"), ("persona-id", "enhancer")]
+    from .catalog import DAMAGE
+
+    pairs = [("persona-id", "persona_revised"), ("persona_original", "persona_revised"), ("persona-id", "enhancer"), ("persona-id", "created_at")]
     uniques = [("your_persona_original", "partner_persona_original"), ("your_persona_revised", "partner_persona_revised"), ("your_persona_revised", "dialog"), ("dialog", "enhancer")]
     flat = lambda c: f"nullif({strip(f'\"{c}\"')}, '')"
     one, two = ordered("your_persona_original"), ordered("partner_persona_original")
@@ -175,14 +188,25 @@ UNION ALL SELECT row_index, 1, 'again: ' || enhanced_persona_revised FROM person
 c AS (SELECT row_index, max_by(value, shard) AS value FROM w GROUP BY row_index)"""
     sy = """syp AS (SELECT regexp_split_to_array("user 1 personas", '\\r\\n|\\r|\\n') AS p FROM synthetic_chats UNION ALL SELECT regexp_split_to_array("user 2 personas", '\\r\\n|\\r|\\n') FROM synthetic_chats)"""
     clean = lambda x: f"regexp_replace(coalesce({x}, ''), '[\\t\\r\\n\\x0b\\x0c\\x{{1c}}-\\x{{1e}}\\x{{85}}\\x{{2028}}\\x{{2029}}]', ' ', 'g')"
-    lines = f"""{BASE}, k AS (SELECT concat_ws('-', split, cast(floor(row_index / 512) AS BIGINT)) AS split, row_index,
-{each("one", clean("s"))} AS one, {each("two", clean("s"))} AS two, list_transform(turns, lambda t: {clean("t.text")} || chr(9) || {clean("t.response")}) AS said
-FROM cv WHERE len(one) > 0 AND len(two) > 0 AND len(turns) > 0),
-body AS (SELECT split, row_index, list_concat(list_concat({each("one", "'your persona: ' || s")}, {each("two", "'partner''s persona: ' || s")}), said) AS b FROM k),
-flat AS (SELECT split, row_index, unnest(b) AS payload, unnest(range(len(b))) AS nth FROM body),
-lines AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY row_index, nth) AS line_no, (nth + 1) || ' ' || payload AS value, nth + 1 AS n, payload FROM flat)"""
-    kind = "CASE WHEN starts_with(payload, 'your persona: ') THEN 'your' WHEN starts_with(payload, 'partner''s persona: ') THEN 'partner' ELSE 'turn' END"
-    cleaned = f"""{collapse("regexp_replace(regexp_replace(regexp_replace(regexp_replace(enhanced_persona_revised, '</?answer>', '', 'gi'), '<think>[\\s\\S]*?</think>', '', 'gi'), '</?think>', '', 'gi'), '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]', '', 'g')")}"""
+    bodies = f"""{BASE}, k AS (SELECT coalesce(split, 'none') AS split, row_index, coalesce({each("one", clean("s"))}, []) AS one, coalesce({each("two", clean("s"))}, []) AS two,
+coalesce(list_transform(turns, lambda t: struct_pack(a := {clean("t.text")}, b := {clean("t.response")})), []) AS said FROM cv),
+body AS (SELECT *, list_concat(list_concat({each("one", "'your persona: ' || s")}, {each("two", "'partner''s persona: ' || s")}), list_transform(said, lambda t: t.a || chr(9) || t.b)) AS b FROM k)"""
+    damage = " ".join(f"WHEN {k} THEN [replace({' || chr(9) || '.join(text(x) for x in v.split(chr(9)))}, '{{n}}', (len(b) + 1)::VARCHAR)]" for k, v in DAMAGE.items())
+    written_lines = lambda extra: f"""{bodies}, flat AS (SELECT split, row_index, unnest(v) AS value, unnest(range(len(v))) AS nth FROM (SELECT split, row_index, list_concat(list_transform(b, lambda x, i: i || ' ' || x), {extra}) AS v FROM body WHERE len(b) > 0)),
+lines AS (SELECT split, row_index, row_number() OVER (PARTITION BY split ORDER BY row_index, nth) AS line_no, value FROM flat)"""
+    lines = written_lines("[]::VARCHAR[]")
+    parsed = f"""z AS (SELECT *, split_part(value, ' ', 1) AS head, CASE WHEN contains(value, ' ') THEN substr(value, length(split_part(value, ' ', 1)) + 2) END AS payload FROM lines),
+y AS (SELECT *, CASE WHEN regexp_full_match(head, '[+]?[0-9]+(_[0-9]+)*') THEN try_cast(regexp_replace(head, '[+_]', '', 'g') AS BIGINT) END AS n, CASE WHEN starts_with(payload, 'your persona: ') THEN 'your' WHEN starts_with(payload, 'partner''s persona: ') THEN 'partner' ELSE 'turn' END AS kind FROM z),
+x AS (SELECT *, sum((n IS NOT NULL AND n = 1)::INTEGER) OVER (PARTITION BY split ORDER BY line_no) AS episode, CASE WHEN kind = 'your' THEN {strip("substr(payload, 15)")} WHEN kind = 'partner' THEN {strip("substr(payload, 20)")} END AS sentence, CASE WHEN kind = 'turn' THEN string_split(payload, chr(9)) END AS fields FROM y),
+w AS (SELECT *, row_number() OVER e AS due, max((kind = 'turn')::INTEGER) OVER (PARTITION BY split, episode ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spoken FROM x WINDOW e AS (PARTITION BY split, episode ORDER BY line_no)),
+refused AS (SELECT split, line_no, episode, CASE WHEN {strip("value")} = '' THEN 'blank line' WHEN n IS NULL OR payload IS NULL THEN 'no line number' WHEN n <> due THEN 'numbering gap' WHEN kind <> 'turn' AND sentence = '' THEN 'blank persona'
+WHEN kind <> 'turn' AND spoken = 1 THEN 'persona after turn' WHEN kind = 'turn' AND contains(lower(payload), 'persona:') THEN 'unknown persona prefix' WHEN kind = 'turn' AND len(fields) <> 2 THEN 'not two fields' WHEN kind = 'turn' AND len(list_filter(fields, lambda f: {strip("f")} = '')) > 0 THEN 'blank field' END AS kind FROM w
+UNION ALL SELECT split, max(line_no), episode, CASE WHEN count_if(kind = 'your') = 0 THEN 'no your persona' WHEN count_if(kind = 'partner') = 0 THEN 'no partner persona' WHEN count_if(kind = 'turn') = 0 THEN 'no turns' END FROM w GROUP BY split, episode)"""
+    def cleaned(x: str) -> str:
+        for pattern in (ANSWER_TAG, THINKING, THINK_TAG):
+            x = f"regexp_replace({x}, {text(pattern)}, '', 'gi')"
+        return collapse(f"regexp_replace({x}, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]', '', 'g')")
+
     first_kind = lambda k: f"min_by(value, CASE WHEN kind = '{k}' THEN line_no END) AS first_{k}"
     return {
         "overlap_stats": f"WITH {PERSONAS} " + overlap(f"SELECT {key('p')} AS k FROM cvp", f"SELECT {key('p')} AS k FROM pcp"),
@@ -226,20 +250,29 @@ SELECT persona, 'convai2' AS side FROM (SELECT persona FROM x EXCEPT SELECT pers
 SELECT (SELECT count(*) FROM p) AS n_pairs, (SELECT count(*) FROM s) AS n_share, (SELECT count(*) FROM p) - (SELECT count(*) FROM s) AS n_differ""",
         "persona_agreement": f"""WITH {EXPANDED}, k AS (SELECT id, CASE WHEN EXISTS (SELECT 1 FROM cvd c WHERE c.dialog = p.dialog AND c.one = p.one AND c.two = p.two) THEN 'same' WHEN EXISTS (SELECT 1 FROM cvd c WHERE c.dialog = p.dialog AND c.one = p.two AND c.two = p.one) THEN 'swapped' ELSE 'different' END AS k
 FROM pcd p WHERE p.dialog IN (SELECT dialog FROM cvd WHERE dialog IS NOT NULL)) SELECT count(*) AS shared, count_if(k = 'same') AS same, count_if(k = 'swapped') AS swapped, count_if(k = 'different') AS different FROM k""",
-        "first_occurrence": f"WITH {EXPANDED} SELECT dialog, min(id) AS first FROM cvd WHERE dialog IS NOT NULL GROUP BY dialog",
+        "first_occurrence": f"""WITH {EXPANDED}, u AS (SELECT 'convai2' AS corpus, split, id, dialog FROM cvd UNION ALL SELECT 'personachat', split, id, dialog FROM pcd)
+SELECT corpus, dialog, split, id AS first FROM u WHERE dialog IS NOT NULL QUALIFY row_number() OVER (PARTITION BY corpus, dialog ORDER BY CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 WHEN 'test' THEN 3 ELSE 4 END, id) = 1""",
+        "first_turns": f"WITH {BASE} SELECT row_index, CAST(to_json(list_transform(turns[1:2], lambda t: struct_pack(text := t.text, response := t.response))) AS VARCHAR) AS preview FROM cv WHERE len(turns) > 0",
+        "schema_listing": _SCHEMA,
+        "persona_mapping_ordered": f"WITH {canon}, u AS (SELECT DISTINCT {joined('p', chr(39) + ' ' + chr(39))} AS x FROM t WHERE p IS NOT NULL) SELECT row_number() OVER (ORDER BY x) - 1 AS row_index, sha256(x) AS persona_id, x AS persona_revised FROM u",
+        "stub_enhance": f"""WITH p AS (SELECT row_index, {text(TEXT_PROMPT)} || {strip("coalesce(persona_original, 'None')")} AS prompt FROM persona_mapping)
+SELECT row_index, CASE WHEN length(prompt) % 7 = 0 THEN prompt ELSE {cleaned("prompt")} END AS enhanced_description, length(prompt) % 7 = 0 AS failed FROM p""",
+        "line_numbered_roundtrip": f"""WITH {lines}, {parsed}, bad AS (SELECT DISTINCT split, episode FROM refused WHERE kind IS NOT NULL), nr AS (SELECT split, row_index, row_number() OVER (PARTITION BY split ORDER BY row_index) AS episode FROM body WHERE len(b) > 0)
+SELECT body.split AS source_split, sha256('both_revised_no_cands' || chr(0) || body.split || chr(0) || (nr.episode - 1)::VARCHAR) AS conversation_id, {joined(each("one", strip("s")), "'|'")} AS your_persona, {joined(each("two", strip("s")), "'|'")} AS partner_persona, len(said)::INTEGER AS n_turns,
+array_to_string(list_transform(said, lambda t, i: (i - 1) || '~' || {strip("t.a")} || '~' || {strip("t.b")}), '|') AS turns FROM body JOIN nr ON nr.split = body.split AND nr.row_index = body.row_index LEFT JOIN bad ON bad.split = nr.split AND bad.episode = nr.episode WHERE bad.episode IS NULL""",
         "top_examples": f"WITH {SENTENCES} SELECT sentence FROM (SELECT s AS sentence FROM cvs INTERSECT SELECT s FROM pcs) ORDER BY sentence LIMIT 3",
         "conversation_turns_exploded": f"WITH {BASE} SELECT row_index, i AS turn_id, t.text AS text, t.response AS response FROM (SELECT row_index, unnest(turns) AS t, unnest(range(len(turns))) AS i FROM cv)",
-        "message_turns": """WITH m AS (SELECT conversation_id, turn_id, lower(trim(arg_min(coalesce(role, chr(1)), message_id), ' ')) AS role, arg_min(text, message_id) AS text FROM chat_messages WHERE turn_id IS NOT NULL AND text IS NOT NULL AND conversation_id IS NOT NULL GROUP BY 1, 2),
-n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS response FROM m WHERE role NOT IN ('system', chr(1)) WINDOW w AS (PARTITION BY conversation_id ORDER BY turn_id)) SELECT conversation_id, turn_id, text, response FROM n WHERE role = 'user' AND next_role = 'assistant'""",
-        "line_kind_counts": f"WITH {lines}, z AS (SELECT *, {kind} AS kind FROM lines) SELECT split, count(*) AS n_lines, count_if(n = 1) AS episodes, count_if(kind = 'your') AS your_lines, count_if(kind = 'partner') AS partner_lines, count_if(kind = 'turn') AS turn_lines, {first_kind('your')}, {first_kind('partner')}, {first_kind('turn')} FROM z GROUP BY split",
-        "parse_violations": f"""WITH {lines}, z AS (SELECT *, {kind} AS kind FROM lines) SELECT split, line_no, CASE WHEN kind <> 'turn' THEN 'blank persona' WHEN contains(lower(payload), 'persona:') THEN 'unknown persona prefix' ELSE 'blank field' END AS kind FROM z
-WHERE (kind <> 'turn' AND {strip("replace(replace(payload, 'partner''s persona: ', ''), 'your persona: ', '')")} = '') OR (kind = 'turn' AND (contains(lower(payload), 'persona:') OR {strip("split_part(payload, chr(9), 1)")} = '' OR {strip("split_part(payload, chr(9), 2)")} = ''))""",
+        "message_turns": f"""WITH r AS (SELECT conversation_id, message_id, turn_id, sent_at, regexp_replace(lower(role), '[^a-z]', '', 'g') AS r, text FROM chat_messages WHERE conversation_id IS NOT NULL AND text IS NOT NULL QUALIFY turn_id IS NULL OR row_number() OVER (PARTITION BY conversation_id, turn_id ORDER BY message_id) = 1),
+m AS (SELECT *, CASE {" ".join(f"WHEN r IN ({', '.join(text(x) for x in names)}) THEN '{role}'" for role, names in ROLES.items())} END AS role FROM r),
+n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS response FROM m WHERE role IS NULL OR role <> 'system' WINDOW w AS (PARTITION BY conversation_id ORDER BY turn_id NULLS FIRST, sent_at NULLS FIRST, message_id)) SELECT conversation_id, message_id, turn_id, text, response FROM n WHERE role = 'user' AND next_role = 'assistant'""",
+        "line_kind_counts": f"WITH {lines}, {parsed} SELECT split, count(*) AS n_lines, count_if(head = '1') AS episodes, count_if(kind = 'your') AS your_lines, count_if(kind = 'partner') AS partner_lines, count_if(kind = 'turn') AS turn_lines, {first_kind('your')}, {first_kind('partner')}, {first_kind('turn')} FROM y GROUP BY split",
+        "parse_violations": f"WITH {written_lines(f'CASE row_index % 10 {damage} ELSE []::VARCHAR[] END')}, {parsed} SELECT split, line_no, kind FROM refused WHERE kind IS NOT NULL",
         "pair_uniqueness": " UNION ALL ".join(unique(a, b) for a, b in uniques),
         "functional_dependency": " UNION ALL ".join(dependency(k, v) for k, v in pairs),
         "fd_conflicts": " UNION ALL ".join(dependent_rows(k, v) for k, v in pairs),
         "missingness": missing("personachat_dialogs", {c: _MISSING(c) for c in _PC_COLUMNS}),
         "missingness_nested": missing("convai2_conversations", {c: f"({c} IS NULL OR len({c}) = 0)" for c in ("your_persona", "partner_persona", "turns")} | {"source_split": _MISSING("source_split")}),
-        "invalid_rows": "SELECT row_index, columns FROM (SELECT row_index, concat_ws(',', " + ", ".join(f"CASE WHEN {_MISSING(c)} THEN '{c}' END" for c in _PC_COLUMNS) + ") AS columns FROM personachat_dialogs) WHERE columns <> ''",
+        "invalid_rows": "SELECT row_index, columns, concat_ws('|', " + ", ".join(f"CASE WHEN {_MISSING(c)} THEN coalesce({c}, '(null)') END" for c in _PC_COLUMNS) + ") AS values FROM (SELECT *, concat_ws(',', " + ", ".join(f"CASE WHEN {_MISSING(c)} THEN '{c}' END" for c in _PC_COLUMNS) + ") AS columns FROM personachat_dialogs) WHERE columns <> ''",
         "empty_personas": f"WITH {BASE} SELECT split, row_index, 'one' AS \"column\" FROM pc WHERE len({comparable('one')}) = 0 UNION ALL SELECT split, row_index, 'two' FROM pc WHERE len({comparable('two')}) = 0",
         "shard_balance": "SELECT row_index % 7 AS shard, count(*) AS n FROM persona_mapping GROUP BY 1",
         "shard_rows": 'SELECT (row_index % 7)::INTEGER AS shard, row_index, "persona-id" AS persona_id FROM persona_mapping',
@@ -250,10 +283,11 @@ WHERE (kind <> 'turn' AND {strip("replace(replace(payload, 'partner''s persona:
         "prompt_template": f"SELECT row_index, {text(TEXT_PROMPT)} || {strip("coalesce(persona_revised, 'None')")} AS prompt FROM persona_mapping",
         "prompt_variant": f"""SELECT row_index, variant, CASE WHEN variant = 'original' THEN {text(IMAGE_PROMPT)} ELSE '' END || x AS prompt, {text(IMAGE_PROMPT)} || x AS always_prefixed FROM (SELECT row_index, 'original' AS variant, {strip("coalesce(persona_revised, 'None')")} AS x FROM persona_mapping
 UNION ALL SELECT row_index, 'enhanced', {strip("coalesce(enhanced_persona_revised, 'None')")} FROM persona_mapping)""",
-        "clean_output": f"SELECT row_index, {cleaned} AS cleaned FROM persona_mapping",
+        "clean_output": f"SELECT row_index, {cleaned('enhanced_persona_revised')} AS cleaned FROM persona_mapping",
         "image_paths": "SELECT row_index, printf('images/%09d.png', row_index) AS image_path, printf('num_shards-7/shard-%05d', row_index % 7) AS shard_dir FROM persona_mapping",
         "json_persona_parse": f"SELECT row_index, {joined(each(strict('partner_persona_revised'), 's'), chr(39) + '|' + chr(39))} AS strict, {joined(lenient('partner_persona_revised'), chr(39) + '|' + chr(39))} AS lenient FROM personachat_dialogs",
-        "job_matrix": """SELECT (row_number() OVER (ORDER BY m, d, v) - 1)::INTEGER AS ordinal, 'corpora/' || n || '-mapping' AS source, 'corpora/' || n || '-mapping-' || upper(w) || '-' || variant AS target, 'models/' || w AS model, variant,
-CASE WHEN variant = 'original' THEN o ELSE 'enhanced_' || o END AS prompt_column, CASE WHEN w = 'three' THEN 7 ELSE 42 END AS seed, 50 AS steps
-FROM (VALUES (1, 'one'), (2, 'two'), (3, 'three')) a(m, w), (VALUES (1, 'alpha', 'description'), (2, 'beta', 'persona_revised'), (3, 'gamma', 'persona_revised')) b(d, n, o), (VALUES (1, 'original'), (2, 'enhanced')) c(v, variant)""",
+        "job_matrix": """SELECT (i * 8 + j * 2 + k)::INTEGER AS ordinal, source, target, 'all' AS split, 'pid' AS id_column, prompt_column, 'picture' AS image_column, variant, model, 640::BIGINT AS width, 1024::BIGINT AS height, seed::BIGINT AS seed, steps::BIGINT AS num_inference_steps, 2.5::DOUBLE AS guidance_scale, 4.0::DOUBLE AS cfg_scale, 'text, frames' AS negative_prompt, extra,
+'/shared/pictures/' || target || '/images' AS output, CASE WHEN source = 'loose' THEN 'dataset without namespace' WHEN prompt_column IS NULL THEN 'no column for the variant' END AS problem
+FROM (SELECT *, CASE WHEN source = 'loose' THEN '/' ELSE source END || '-' || suffix || '-' || variant AS target, CASE variant WHEN 'original' THEN o ELSE e END AS prompt_column
+FROM (VALUES (0, 'lab/sketch', 'S1', 11, 8, 'palette="gray"'), (1, 'lab/oil', 'O2', NULL, 50, '')) a(i, model, suffix, seed, steps, extra), (VALUES (0, 'archive/letters', 'self_text', 'self_text_long'), (1, 'archive/old/diaries', 'entry', 'entry_long'), (2, 'loose', 'entry', 'entry_long'), (3, 'archive/half', 'entry', NULL)) b(j, source, o, e), (VALUES (0, 'original'), (1, 'enhanced')) c(k, variant))""",
     }

@@ -19,8 +19,8 @@ def last_write(rows: DataFrame, order: list[str], key: str = "row_index") -> Dat
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(file, line_no, fields …) of the JSON lines under ``path``; a missing path is an empty table, blank lines are skipped.
 
-    A line that is no object with all fields fails the job with its file and number. Each file is read whole and cut
-    into lines, so its order is known; shards keep files small.
+    A line that is no object with all fields (persona_id may be null) fails the job with its file and number. Each file
+    is read whole and cut into lines, so its order is known; a file holds a chunk of results.
     """
     names = [p.split()[0] for p in schema.split(",")]
     try:
@@ -32,7 +32,7 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     lines = files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r", -1)).alias("at", "line")).where("trim(line) <> ''")
     parsed = lines.select("file", (F.col("at") + 1).cast("long").alias("line_no"), F.from_json("line", schema).alias("r"))
     whole = F.col("r").isNotNull()
-    for n in names:
+    for n in set(names) - {"persona_id"}:
         whole &= F.col(f"r.{n}").isNotNull()
     checked = F.when(whole, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("malformed checkpoint line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("file"))))
     return parsed.select("file", "line_no", checked.alias("r")).select("file", "line_no", "r.*")
@@ -45,12 +45,18 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str, images: str) -> DataFrame:
     """(row_index, persona_id, image_path) of the lines whose image is among the files under ``images``; later lines win."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(images).select(F.regexp_replace("path", "^file:/+", "/").alias("image_path"))
     lines = read_lines(spark, path, IMAGE)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(images).select(F.regexp_replace("path", "^file:/+", "/").alias("image_path"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], IMAGE)
+        raise
     return last_write(lines.join(files, "image_path", "left_semi").select(*lines.columns), ["file", "line_no"])
 
 
 def append(rows: DataFrame, path: str) -> None:
+    """Adds ``rows`` as JSON lines, in files after those that are there. Runs write their chunks themselves, see streaming.resume."""
     rows.write.mode("append").json(path)
 
 
@@ -72,3 +78,9 @@ def merge(rows: DataFrame, done: DataFrame, key: str = "row_index") -> DataFrame
     if m["n_missing"]:
         raise ValueError(f"Missing {m['n_missing']} rows, first {m['first']}")
     return rows.join(done, key)
+
+
+def missing_shards(rows: DataFrame, done: DataFrame, shards: int, key: str = "row_index") -> list[int]:
+    """The shards that have rows but not one result, in order; at most ``shards`` numbers."""
+    of = lambda df: df.select(F.pmod(F.col(key), F.lit(shards)).alias("shard")).distinct()
+    return sorted(r["shard"] for r in of(rows).join(of(done), "shard", "left_anti").collect())

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import os
 import tarfile
 import tempfile
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .files import resolve
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,9 +38,14 @@ def columns_like(df: DataFrame, part: str) -> list[str]:
     return [n for n in df.columns if part.lower() in n.lower()]
 
 
-def read_split(spark: SparkSession, path: str, schema: StructType | str, split: str | None = None, required: list[str] = (), limit: int | None = None) -> DataFrame:
-    """A corpus directory partitioned by split, or one split of it; the partition filter prunes files."""
-    df = spark.read.schema(schema).parquet(path)
+def config_path(path: str, config: str | None) -> str:
+    """The folder of a named configuration of a corpus, or of the corpus itself."""
+    return path if config is None else f"{path}/{config}"
+
+
+def read_split(spark: SparkSession, path: str, schema: StructType | str, split: str | None = None, required: list[str] = (), limit: int | None = None, config: str | None = None) -> DataFrame:
+    """A corpus directory partitioned by split, or one split of it; the partition filter prunes files. ``config`` names one of several corpora under ``path``."""
+    df = spark.read.schema(schema).parquet(config_path(path, config))
     return head(require_columns(df.where(F.col("split") == split) if split is not None else df, list(required)), limit)
 
 
@@ -48,9 +54,9 @@ def head(df: DataFrame, limit: int | None, index: str = "row_index") -> DataFram
     return df if limit is None else df.where(F.col(index) < limit)
 
 
-def write_corpus(df: DataFrame, path: str, by: str = "split") -> None:
-    """Replaces the corpus at ``path``, one directory per split."""
-    df.write.mode("overwrite").partitionBy(by).parquet(path)
+def write_corpus(df: DataFrame, path: str, by: str = "split", config: str | None = None) -> None:
+    """Replaces the corpus at ``path`` (its configuration ``config``), one directory per split."""
+    df.write.mode("overwrite").partitionBy(by).parquet(config_path(path, config))
 
 
 def write_single(df: DataFrame, path: str, order: str = "row_index") -> None:
@@ -58,9 +64,9 @@ def write_single(df: DataFrame, path: str, order: str = "row_index") -> None:
     df.orderBy(order).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def read_back(df: DataFrame, path: str) -> list[str]:
+def read_back(df: DataFrame, path: str, config: str | None = None) -> list[str]:
     """What differs between ``df`` and the corpus written to ``path``: columns, types, rows by split. Empty if nothing does."""
-    again = df.sparkSession.read.parquet(path)
+    again = df.sparkSession.read.parquet(config_path(path, config))
     out = []
     types = lambda x: {f.name: f.dataType.simpleString() for f in x.schema}
     if types(df) != types(again):
@@ -132,17 +138,24 @@ def fetch_archive(fetch: Callable[[], Iterator[bytes]], target: str | Path, sha2
 
 
 def tar_members(spark: SparkSession, path: str, members: dict[str, str]) -> DataFrame:
-    """(split, text) of the named UTF-8 members (split -> name) of the gzipped tar archives under ``path``; a missing member is an error."""
-    wanted = {name.removeprefix("./"): split for split, name in members.items()}
+    """(split, text) of the named UTF-8 members (split -> name) of the gzipped tar archives under ``path``; a missing member is an error.
+
+    Archives are read as streams where they lie, each by one task; only the wanted members are held.
+    """
+    bare = lambda name: name[2:] if name.startswith("./") else name
+    split_of = {bare(name): split for split, name in members.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as t:
-                    found = {m.name.removeprefix("./"): m for m in t.getmembers() if m.isfile()}
-                    lost = sorted(set(wanted) - set(found))
-                    if lost:
-                        raise ValueError(f"archive lacks {lost}")
-                    yield pd.DataFrame([(s, t.extractfile(found[n]).read().decode("utf-8")) for n, s in wanted.items()], columns=["split", "text"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "split string, text string")
+        for where in (w for b in batches for w in b["path"]):
+            system, at = resolve(where)
+            seen = set()
+            with system.open_input_stream(at, compression=None) as source, tarfile.open(fileobj=source, mode="r|gz") as archive:
+                for member in archive:
+                    name = bare(member.name)
+                    if name in split_of and member.isfile():
+                        seen.add(name)
+                        yield pd.DataFrame({"split": [split_of[name]], "text": [archive.extractfile(member).read().decode("utf-8")]})
+            if len(seen) < len(split_of):
+                raise ValueError(f"archive lacks {sorted(split_of.keys() - seen)}")
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, "split string, text string")

@@ -107,9 +107,25 @@ def first_episode(lines: DataFrame) -> DataFrame:
     return marked(lines).where("episode = 1").select("split", "line_no", "value")
 
 
-def write_lines(conversations: DataFrame, order: str) -> DataFrame:
-    """(split, order, at, value): the lines of conversations (your_persona, partner_persona, turns, split), numbered from 1 in each."""
-    said = F.transform("turns", lambda t: F.concat(t["text"], F.lit("\t"), t["response"]))
-    told = lambda c, prefix: F.transform(c, lambda s: F.concat(F.lit(prefix), s))
+def write_lines(conversations: DataFrame, order: str, after: Column | None = None) -> DataFrame:
+    """(split, line_no, value): the lines of conversations (your_persona, partner_persona, turns, split).
+
+    ``line_no`` counts from 1 within a split, in the order of the column ``order`` (integers). Null lists count as
+    empty; a conversation without anything has no line. ``after`` is a line behind a conversation, as it stands but for
+    the number that would be due in place of {n}; null for none. Lines are counted by conversation, then in blocks of
+    conversations and over the blocks, so no split is brought together.
+    """
+    some = lambda lines: F.coalesce(lines, F.array().cast("array<string>"))
+    said = some(F.transform("turns", lambda t: F.concat(t["text"], F.lit("\t"), t["response"])))
+    told = lambda c, prefix: some(F.transform(c, lambda s: F.concat(F.lit(prefix), s)))
     body = F.concat(told("your_persona", YOURS), told("partner_persona", PARTNERS), said)
-    return conversations.select("split", F.col(order).alias("order"), F.posexplode(body).alias("at", "payload")).select("split", "order", "at", F.concat((F.col("at") + 1).cast("string"), F.lit(" "), F.col("payload")).alias("value"))
+    extra = F.lit(None).cast("string") if after is None else after
+    c = conversations.select("split", F.col(order).alias("order"), body.alias("body"), extra.alias("extra")).where(F.size("body") > 0)
+    lines = F.concat(F.transform("body", lambda p, i: F.concat((i + 1).cast("string"), F.lit(" "), p)), F.array_compact(F.array(F.replace("extra", F.lit("{n}"), (F.size("body") + 1).cast("string")))))
+    c = c.select("split", "order", lines.alias("lines"), F.floor(F.col("order") / BLOCK).alias("block"))
+    blocks = c.groupBy("split", "block").agg(F.sum(F.size("lines")).alias("n"))
+    earlier = Window.partitionBy("split").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("split", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("split", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = c.withColumn("within", F.coalesce(F.sum(F.size("lines")).over(within), F.lit(0))).join(before, ["split", "block"])
+    return placed.select("split", (F.col("before") + F.col("within") + 1).alias("start"), F.posexplode("lines").alias("at", "value")).select("split", (F.col("start") + F.col("at")).alias("line_no"), "value")

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from parley.sources import numbered
 
 GOOD = """1 your persona: i ski.
@@ -64,9 +66,18 @@ def test_line_ends_and_empty_text(spark):
 
 
 def test_round_trip(spark):
-    parsed = numbered.parse(lines(spark, GOOD), "cfg").withColumnRenamed("source_split", "split")
-    written = numbered.write_lines(parsed, "conversation_id").orderBy("order", "at")
-    text = "\n".join(r["value"] for r in written.collect())
-    again = numbered.parse(lines(spark, text), "cfg")
+    parsed = numbered.parse(lines(spark, GOOD * 3), "cfg").withColumnRenamed("source_split", "split")
+    ordered = parsed.rdd.zipWithIndex().map(lambda r: (r[1] * 40_000, *r[0][1:])).toDF("row_index long, your_persona array<string>, partner_persona array<string>, turns array<struct<turn_id:int,text:string,response:string>>, split string")
+    written = numbered.write_lines(ordered, "row_index")
+    rows = written.orderBy("line_no").collect()
+    assert [r["line_no"] for r in rows] == list(range(1, len(rows) + 1))
+    again = numbered.parse(written, "cfg")
     key = lambda df: sorted(str((r["your_persona"], r["partner_persona"], r["turns"])) for r in df.collect())
     assert key(again) == key(parsed)
+
+
+def test_writing_broken_conversations(spark):
+    d = spark.createDataFrame([(1, "s", None, ["x"], None), (2, "s", None, None, []), (3, "s", ["a"], ["b"], [("t", "r")])], "row_index long, split string, your_persona array<string>, partner_persona array<string>, turns array<struct<text:string,response:string>>")
+    got = [tuple(r) for r in numbered.write_lines(d, "row_index", F.when(F.col("row_index") == 3, "{n} end")).select("line_no", "value").orderBy("line_no").collect()]
+    assert got == [(1, "1 partner's persona: x"), (2, "1 your persona: a"), (3, "2 partner's persona: b"), (4, "3 t\tr"), (5, "4 end")]
+    assert numbered.write_lines(d.limit(0), "row_index").count() == 0

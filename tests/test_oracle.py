@@ -3,7 +3,6 @@
 import decimal
 import glob
 import os
-import re
 
 import duckdb
 import pytest
@@ -43,13 +42,3 @@ def test_entry_and_queries_without_sql(spark):
     assert driver.entry(spark).count() == 1
     for name in sorted(set(catalog.queries()) - set(catalog.oracle_sql())):
         assert catalog.queries()[name](spark, DATA).count() > 0, name
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_round_trip_of_numbered_text(spark):
-    """Parsing what was written gives the conversations back."""
-    got = {tuple(r) for r in catalog.line_numbered_roundtrip(spark, DATA).select("your_persona", "partner_persona", "n_turns").collect()}
-    c = catalog.cv(spark, DATA).where("size(one) > 0 and size(two) > 0 and size(turns) > 0").collect()
-    flat = lambda v: "|".join(re.sub(r"[\t\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", " ", s).strip() for s in v)
-    want = {(flat(r["one"]), flat(r["two"]), len(r["turns"])) for r in c if all(s and s.strip() for s in r["one"] + r["two"]) and all(t["text"].strip() and t["response"].strip() for t in r["turns"])}
-    assert got == want
