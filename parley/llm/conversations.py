@@ -14,33 +14,20 @@ any share of the rows. Where there are no numbers, places are ranks in a distrib
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dialogs import role_of
+from ..functions.hashing import hash64
 from ..functions.text import strip
 from ..session import cut
 from ..sources.corpus import with_row_index
 from .corpora import load
 
-#: Spellings of the roles, without case, punctuation and white space.
-ROLES = {
-    "user": ("user", "human", "usr", "customer", "person", "client", "enduser", "prompter", "questioner"),
-    "assistant": ("assistant", "asst", "gpt", "chatgpt", "bot", "chatbot", "ai", "aiassistant", "model", "agent", "llm", "machine"),
-    "system": ("system", "sys", "systemprompt", "developer"),
-}
 #: Places by which a fragment begins after the one before.
 STEP = 8
 
 
-def role_of(c: Column) -> Column:
-    """user, assistant or system; null for a role that means none of them."""
-    bare = F.regexp_replace(F.lower(c), "[^a-z]", "")
-    out = None
-    for role, names in ROLES.items():
-        out = F.when(bare.isin(*names), role) if out is None else out.when(bare.isin(*names), role)
-    return out
-
-
 def placed(messages: DataFrame) -> DataFrame:
     """(conversation_id, place, role, hash, message_id, numbered): the distinct messages of each conversation at their places.
 
@@ -54,7 +41,7 @@ def placed(messages: DataFrame) -> DataFrame:
         F.col("turn_id").cast("long").alias("turn"),
         F.when(F.col("turn_id").isNull(), F.unix_micros(F.col("sent_at").cast("timestamp"))).alias("time"),
         role_of(F.col("role")).alias("role"),
-        F.when(body != "", F.xxhash64(body)).alias("hash"),
+        F.when(body != "", hash64(1, body)).alias("hash"),
     )
     nodes = cut(m.groupBy("conversation_id", "turn", "time", "role", "hash").agg(F.min("message_id").alias("message_id")))
     kept = ["conversation_id", "role", "hash", "message_id"]
@@ -76,7 +63,7 @@ def fragments(places: DataFrame) -> DataFrame:
     block = F.floor(F.col("place") / STEP)
     before = F.when((F.col("place") % STEP == 0) & (F.col("place") > 0), block - 1)
     d = places.withColumn("fragment", F.explode(F.array_distinct(F.array(block, F.coalesce(before, block)))))
-    ident = F.xxhash64("place", "role", "hash")
+    ident = hash64(2, F.col("place"), F.col("role"), F.col("hash"))
     speaker = F.col("role").isin("user", "assistant")
     beat = F.when(speaker, F.pmod(F.col("place") + (F.col("role") == "assistant").cast("int"), F.lit(2)))
     return d.groupBy("conversation_id", "fragment").agg(

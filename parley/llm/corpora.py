@@ -19,8 +19,6 @@ from . import shingles
 CORPORA = ("convai2", "personachat")
 #: Most rows that are ever broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
-#: Most row pairs into which a pair of classes of exact copies is multiplied out; None is all, as the queries need.
-EXPANDED: int | None = None
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -138,35 +136,44 @@ def expand(pairs: DataFrame, *sides: DataFrame) -> DataFrame:
     """Pairs (a, b, …) over all rows from pairs over representatives, each row pair once; other columns go along.
 
     ``sides`` are the members (rid, rep) of a's and of b's classes, without the representatives; one for both will do.
-    Every copy of one class is paired with every copy of the other. With EXPANDED set, classes of more pairs are not
-    multiplied out: each copy is paired with the other class's representative only.
+    Every copy of one class is paired with every copy of the other; AQE splits a class that is much larger than others.
     """
-    of = dict(zip("ab", sides * 2 if len(sides) == 1 else sides))
-    rest = [c for c in pairs.columns if c not in ("a", "b")]
-    whole = F.lit(True)
-    if EXPANDED is not None:
-        for side, members in of.items():
-            pairs = pairs.join(class_sizes(members).select(F.col("rep").alias(side), F.col("n").alias(f"n{side}")), side, "left")
-        whole = F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)) <= EXPANDED
-    pairs = pairs.select("a", "b", *rest, whole.alias("whole"))
-    m = {side: members.select(F.col("rep").alias("_rep"), F.col("rid").alias("_rid")) for side, members in of.items()}
-    of_a = pairs.join(m["a"], F.col("a") == F.col("_rep")).select(F.col("_rid").alias("a"), "b", *rest, "whole", F.lit(True).alias("copy"))
-    every_a = pairs.withColumn("copy", F.lit(False)).unionByName(of_a)
-    both = every_a.where("whole or not copy")  # of classes beyond EXPANDED only the representative meets the other's copies
-    of_b = both.join(m["b"], F.col("b") == F.col("_rep")).select("a", F.col("_rid").alias("b"), *rest)
-    return every_a.select("a", "b", *rest).unionByName(of_b)
+    for side, members in zip("ab", sides * 2 if len(sides) == 1 else sides):
+        m = members.select(F.col("rep").alias(side), F.col("rid").alias("_rid"))
+        copies_ = pairs.join(m, side).drop(side).withColumnRenamed("_rid", side)
+        pairs = pairs.unionByName(copies_.select(*pairs.columns))
+    return pairs
 
 
 def among(members: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the rows of each class: all pairs, or beyond EXPANDED of them the representative with each copy."""
-    sized = members
-    if EXPANDED is not None:
-        sized = members.join(class_sizes(members), "rep").where(F.col("n") * F.col("n") <= 2 * EXPANDED)
+    """(a, b), a < b, of all pairs of rows of each class."""
     m = members.select("rep", F.col("rid").alias("b"))
-    inner = sized.join(m, "rep").where("rid < b").select(F.col("rid").alias("a"), "b")
+    inner = members.join(m, "rep").where("rid < b").select(F.col("rid").alias("a"), "b")
     return members.select(F.col("rep").alias("a"), F.col("rid").alias("b")).unionByName(inner)
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(rid, root): for every row in a pair (a, b) the smallest row that it is linked with, directly or through others.
+
+    Alternating stars: every node tells its larger neighbours, then its smaller ones, of the smallest among them, until
+    nothing changes; the rounds grow with the logarithm of the longest chain. Edges are shuffled, never collected.
+    """
+    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_ = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = cut(small_)
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("u").alias("rid"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("rid"), F.col("v").alias("root")).distinct())
+
+
 def named(pairs: DataFrame) -> DataFrame:
     """(corpus, row_a, row_b) of pairs (a, b) of rids of one corpus, the smaller row first."""
     a, b = F.shiftright("a", 1), F.shiftright("b", 1)

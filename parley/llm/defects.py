@@ -2,13 +2,16 @@
 
 Each defect has a few labelling functions that vote 1 (defective), 0 (sound) or - (no opinion). What a vote is worth is
 not set by hand: a model of each defect, in which the votes are independent given the true state, is fitted by
-expectation-maximization to the counts of vote patterns over all rows. A defect is retained where its posterior
-exceeds the defect's cutoff, validated as the one of the greatest expected F1 on rows the fit did not see. A row can
-retain several defects; where one is asked for, the first of DEFECTS among them counts.
+expectation-maximization to the counts of vote patterns over all rows. A defect is retained where its posterior reaches
+the defect's cutoff, validated on labelled rows beside those of the fit: a bounded sample of sound rows (LABELLED), each
+as it is and with every defect built in (see constructed()); the cutoff is the one of the greatest F1 there. A row can
+retain several defects; where one is asked for, the one of the greatest posterior counts, of equal ones the first of
+DEFECTS.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import hash64
 from ..session import cut
 from . import endings, truncation
 from .corpora import load
@@ -25,6 +29,8 @@ from .shingles import WORD
 
 DEFECTS = ("empty", "refusal", "other_language", "copy", "truncated")
 ROUNDS, SMOOTH = 60, 0.5
+#: Pairs from which labelled rows are built for the cutoffs, and characters of one at most.
+LABELLED, LONGEST = 1000, 20_000
 
 #: Words that stand for nothing.
 STAND_INS = set("null none nil nan na n/a undefined empty missing blank tbd todo unknown placeholder noanswer nodescription notavailable notapplicable novalue nodata noresponse nothing untitled nodescriptionavailable noanswerprovided".split())
@@ -180,16 +186,80 @@ def fit(patterns: list[str], counts: np.ndarray) -> np.ndarray:
     return q
 
 
-def cutoff(posterior: np.ndarray, counts: np.ndarray) -> float:
-    """The posterior from which retaining has the greatest expected F1, 0.5 at least."""
-    order = np.argsort(-posterior)
-    p, n = posterior[order], counts[order].astype(float)
-    hit, kept = np.cumsum(p * n), np.cumsum(n)
-    f1 = 2 * hit / np.maximum(kept + (p * n).sum(), 1e-9)
-    return max(0.5, float(p[int(np.argmax(f1))])) if len(p) and n.sum() else 0.5
+def cutoff(posterior: np.ndarray, defective: np.ndarray) -> float:
+    """The posterior from which retaining has the greatest F1 on labelled rows, 0.5 at least; in the middle of the gap below the rows it retains."""
+    order = np.argsort(-posterior, kind="stable")
+    p, hit = posterior[order], np.cumsum(defective[order])
+    if not len(p) or not hit[-1]:
+        return 0.5
+    last = np.concatenate([p[1:] < p[:-1], [True]])  # rows of equal posterior are retained together
+    f1 = np.where(last, 2 * hit / (np.arange(1, len(p) + 1) + hit[-1]), -1)
+    at = int(np.argmax(f1))
+    below = p[at + 1] if at + 1 < len(p) else 0.0
+    return max(0.5, float(p[at] + below) / 2)
 
 
-def label(rows: DataFrame) -> DataFrame:
+#: Refusals for the labelled rows, with and without a word for the task.
+_REFUSALS = ("I'm sorry, but I can't help with describing this person.", "I cannot create a description for this persona.", "Unfortunately I am not able to rewrite this text.", "As an AI model, I must decline this request.", "We are unable to generate a portrait of this person.")
+
+
+def constructed(sample: list[tuple[str, str]], seed: int = 17) -> list[tuple[str, str, str | None]]:
+    """Labelled (prompt, answer, defect) of sound pairs: each as it is (None) and with every defect that can be built into it.
+
+    empty: a stand-in for nothing; refusal: one of a few sentences; other_language: the answer of a pair whose prompt is
+    in another language; copy: the prompt's sentences in another order; truncated: a prose answer cut inside a sentence.
+    """
+    rng = random.Random(seed)
+    by_language: dict[str, list[str]] = {}
+    for prompt, answer in sample:
+        said = languages(prompt)[0]
+        if said and said == languages(answer)[0]:
+            by_language.setdefault(said, []).append(answer)
+    nothing = sorted(STAND_INS)
+    out: list[tuple[str, str, str | None]] = []
+    for prompt, answer in sample:
+        out.append((prompt, answer, None))
+        out.append((prompt, rng.choice(["", "  ", "<answer></answer>", "...", rng.choice(nothing)]), "empty"))
+        out.append((prompt, rng.choice(_REFUSALS), "refusal"))
+        asked = languages(prompt)[0]
+        others = [k for k in sorted(by_language) if asked and k != asked]
+        if others:
+            out.append((prompt, rng.choice(by_language[rng.choice(others)]), "other_language"))
+        parts = [p.strip() for p in re.split(r"(?<=[.!?;])\s+", prompt) if p.strip()]
+        rng.shuffle(parts)
+        if len(bare(prompt)) >= 12:
+            out.append((prompt, " ".join(parts), "copy"))
+        words = answer.split()
+        if endings.look(answer).kind == "prose" and len(words) > 8:
+            cut_off = " ".join(words[: rng.randrange(5, len(words) - 2)])
+            cut_off = cut_off[: len(cut_off) - rng.randrange(0, 2)].rstrip(".,!?;:\"”'")
+            out.append((prompt, cut_off, "truncated"))
+    return out
+
+
+def labelled(rows: DataFrame, n: int) -> list[tuple[str, str, str | None]]:
+    """Labelled rows for the cutoffs, from at most ``n`` pairs, those with the least hashes among the pairs no function finds fault with.
+
+    Only pairs of at most LONGEST characters are taken, so the driver's part is bounded. The defects built in are in no fit.
+    """
+    short = rows.where((F.length("prompt") > 0) & (F.length("answer") > 0) & (F.length("prompt") + F.length("answer") <= LONGEST))
+    some = short.select("prompt", "answer", hash64(3, F.col("prompt"), F.col("answer")).alias("h")).distinct().orderBy("h", "prompt", "answer").limit(n).collect()
+    sound = [(r["prompt"], r["answer"]) for r in some if not any("1" in p for p in votes(r["prompt"], r["answer"]).values())]
+    return constructed(sound)
+
+
+def cutoffs(rows: list[tuple[str, str, str | None]], posteriors: dict[tuple[str, str], float]) -> dict[str, float]:
+    """The cutoff of each defect from labelled rows and the posteriors of (defect, pattern); a pattern that the fit has not seen is left out."""
+    seen: dict[str, list[tuple[float, bool]]] = {d: [] for d in DEFECTS}
+    for prompt, answer, defect in rows:
+        for d, pattern in votes(prompt, answer).items():
+            q = posteriors.get((d, pattern.replace("?", "0")))
+            if q is not None and (defect in (None, d)):
+                seen[d].append((q, defect == d))
+    return {d: cutoff(np.array([q for q, _ in x]), np.array([y for _, y in x], float)) for d, x in seen.items()}
+
+
+def label(rows: DataFrame, n_labelled: int = LABELLED) -> DataFrame:
     """(id, defect, posterior): the retained defects of rows (id, prompt, answer).
 
     Null and blank answers are empty; without a prompt no answer is a copy or in another language. Repeated rows are
@@ -197,15 +267,14 @@ def label(rows: DataFrame) -> DataFrame:
     """
     seen = cut(voted(rows))
     # at most 3 ** 5 patterns for each defect
-    table = seen.groupBy("defect", "pattern").agg(F.count_if(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).alias("fit"), F.count(F.lit(1)).alias("n")).collect()
-    scored = []
+    table = seen.groupBy("defect", "pattern").agg(F.count(F.lit(1)).alias("n")).collect()
+    posteriors: dict[tuple[str, str], float] = {}
     for d in DEFECTS:
         mine = sorted((r for r in table if r["defect"] == d), key=lambda r: r["pattern"])
-        fitted = np.array([r["fit"] for r in mine], float)
-        rest = np.array([r["n"] - r["fit"] for r in mine], float)
-        q = fit([r["pattern"] for r in mine], fitted)
-        least = cutoff(q, rest)
-        scored += [(d, r["pattern"], float(x)) for r, x in zip(mine, q) if x >= least]
+        q = fit([r["pattern"] for r in mine], np.array([r["n"] for r in mine], float))
+        posteriors |= {(d, r["pattern"]): float(x) for r, x in zip(mine, q)}
+    least = cutoffs(labelled(rows, n_labelled), posteriors)
+    scored = [(d, p, q) for (d, p), q in posteriors.items() if q >= least[d]]
     schema = T.StructType([T.StructField("defect", T.StringType()), T.StructField("pattern", T.StringType()), T.StructField("posterior", T.DoubleType())])
     kept = rows.sparkSession.createDataFrame(scored, schema)
     return seen.join(F.broadcast(kept), ["defect", "pattern"]).select("id", "defect", "posterior")
@@ -221,6 +290,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p2_found: (row_index, defect), one defect per defective row."""
+    """p2_found: (row_index, defect), one defect per defective row: the likeliest, of those alike to three digits the first of DEFECTS."""
     order = F.array_position(F.array(*map(F.lit, DEFECTS)), F.col("defect"))
-    return labels(spark, sf_dir).groupBy("row_index").agg(F.min_by("defect", order).alias("defect"))
+    return labels(spark, sf_dir).groupBy("row_index").agg(F.min_by("defect", F.struct(-F.round("posterior", 3), order)).alias("defect"))

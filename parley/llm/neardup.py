@@ -170,10 +170,15 @@ def found(spark: SparkSession, sf_dir: str, threshold: float = 0.6) -> DataFrame
 
 
 def classes(spark: SparkSession, sf_dir: str, threshold: float = 0.6) -> DataFrame:
-    """p5_classes: (corpus, row_index, class_row, links), one row per usable record: the smallest row with the same words, and its number of similar other texts."""
+    """p5_classes: (corpus, row_index, class_row, group_row, links), one row per record that has a talk.
+
+    class_row is the smallest row with the same words, links the number of similar other texts, and group_row the
+    smallest row of the group: all records that are linked through similar ones. Unparsable talks are groups of their own.
+    """
     rows = corpora.talks(spark, sf_dir).withColumn("side", F.lit(0))
     pairs, members = similar(rows, threshold)
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    out = rows.select("rid").join(members, "rid", "left").withColumn("rep", F.coalesce("rep", "rid")).join(links, "rep", "left")
+    facts = links.join(corpora.components(pairs).select(F.col("rid").alias("rep"), "root"), "rep")
+    out = rows.select("rid").join(members, "rid", "left").withColumn("rep", F.coalesce("rep", "rid")).join(facts, "rep", "left")
     name = F.when(F.col("rid") % 2 == 0, corpora.CORPORA[0]).otherwise(corpora.CORPORA[1]).alias("corpus")
-    return out.select(name, F.shiftright("rid", 1).alias("row_index"), F.shiftright("rep", 1).alias("class_row"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select(name, F.shiftright("rid", 1).alias("row_index"), F.shiftright("rep", 1).alias("class_row"), F.shiftright(F.coalesce("root", "rep"), 1).alias("group_row"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .conversations import ROLES
+from ..functions.dialogs import ROLES
 
 _POINTS = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _WS = "(" + " || ".join(f"chr({p})" for p in _POINTS) + ")"
@@ -40,6 +40,19 @@ f AS (SELECT corpus, id, len(g) AS n, unnest(g) AS t FROM s),
 x AS (SELECT a.corpus, a.id AS row_a, b.id AS row_b, a.n AS na, b.n AS nb, count(*) AS hits FROM f a JOIN f b ON a.corpus = b.corpus AND a.t = b.t AND a.id < b.id GROUP BY ALL)
 SELECT corpus, row_a, row_b FROM x WHERE hits >= 0.6 * (na + nb - hits) - 1e-9
 """
+P5_CLASSES = f"""
+WITH RECURSIVE {_TALKS},
+every AS (SELECT corpus, id, talk FROM talks UNION ALL SELECT 'personachat', row_index, NULL FROM personachat_dialogs WHERE dialog IS NOT NULL AND row_index NOT IN (SELECT id FROM pct)),
+t AS (SELECT corpus, id, {_WORDS("talk")} AS w FROM every),
+c AS (SELECT corpus, id, CASE WHEN len(w) > 0 THEN min(id) OVER (PARTITION BY corpus, w) ELSE id END AS class_row, w FROM t),
+s AS (SELECT corpus, id, {_TRIPLES} AS g FROM c WHERE id = class_row),
+f AS (SELECT corpus, id, len(g) AS n, unnest(g) AS t FROM s),
+x AS (SELECT a.corpus, a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS hits FROM f a JOIN f b ON a.corpus = b.corpus AND a.t = b.t AND a.id <> b.id GROUP BY ALL),
+e AS (SELECT corpus, a, b FROM x WHERE hits >= 0.6 * (na + nb - hits) - 1e-9),
+r AS (SELECT DISTINCT corpus, a AS id, a AS root FROM e UNION SELECT e.corpus, e.b, r.root FROM r JOIN e ON e.corpus = r.corpus AND e.a = r.id),
+g AS (SELECT corpus, id, min(root) AS root FROM r GROUP BY ALL), l AS (SELECT corpus, a AS id, count(*) AS links FROM e GROUP BY ALL)
+SELECT c.corpus, c.id AS row_index, class_row, coalesce(root, class_row) AS group_row, coalesce(links, 0) AS links FROM c LEFT JOIN g ON g.corpus = c.corpus AND g.id = class_row LEFT JOIN l ON l.corpus = c.corpus AND l.id = class_row
+"""
 _P3_PAIRS = f"""
 {_TALKS},
 s AS (SELECT corpus, id, split, {_TRIPLES} AS g FROM (SELECT corpus, id, split, {_WORDS("CASE WHEN corpus = 'convai2' THEN concat_ws(' ', array_to_string(persona, ' '), talk) ELSE talk END")} AS w FROM talks WHERE corpus <> 'convai2' OR len(persona) > 0)),
@@ -72,4 +85,4 @@ n AS (SELECT doc_id, count(*) AS n, count_if(covered) AS r FROM c GROUP BY doc_i
 P10 = f"WITH {_SHARES} SELECT doc_id FROM n WHERE r >= 0.3 * n - 1e-9"
 P10_SHARES = f"WITH {_SHARES} SELECT d.doc_id, coalesce(n, 0) AS words, coalesce(r, 0) AS repeated_words, coalesce(r / n, 0.0) AS share FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"
 
-ORACLE: dict[str, str] = {"p1_found": P1, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p4_groups": P4_GROUPS, "p5_found": P5, "p10_found": P10, "p10_repetition": P10_SHARES}
+ORACLE: dict[str, str] = {"p1_found": P1, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p4_groups": P4_GROUPS, "p5_found": P5, "p5_classes": P5_CLASSES, "p10_found": P10, "p10_repetition": P10_SHARES}

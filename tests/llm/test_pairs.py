@@ -99,9 +99,11 @@ def test_estimate_is_near_jaccard():
         assert abs(neardup.estimate(*regs)[0] - jaccard) < 0.15
 
 
-@pytest.mark.parametrize("filter_bits", [crosssplit.FILTER, 1 << 17])
-def test_cross_split_pairs_are_all_found(spark, tmp_path, monkeypatch, filter_bits):
-    monkeypatch.setattr(crosssplit, "FILTER", filter_bits)  # a full filter changes nothing
+@pytest.mark.parametrize("rare, keys, chunk", [(crosssplit.RARE, crosssplit.KEYS, crosssplit.LIST), (1, 0, 2), (0, 10**9, 3)])
+def test_cross_split_pairs_are_all_found(spark, tmp_path, monkeypatch, rare, keys, chunk):
+    """What is rare, what is broadcast and how lists are cut changes no pair."""
+    for name, value in (("RARE", rare), ("KEYS", keys), ("LIST", chunk)):
+        monkeypatch.setattr(crosssplit, name, value)
     rng = random.Random(5)
     texts = corpus(7)
     splits = [rng.choice(["train", "Train", "valid", "validation", "test", None]) for _ in texts]
@@ -239,20 +241,28 @@ def test_bare_text_hides_contractions():
     assert matching.sentences("[1") == [] and matching.sentences(None) == [] and matching.sentences('["a", 1]') == ["a"]
 
 
-def test_copies_are_multiplied_out_up_to_a_bound(spark, monkeypatch):
+def test_copies_are_multiplied_out(spark):
     members = spark.createDataFrame([(10, 1), (11, 1), (20, 2), (21, 2), (22, 2)], "rid long, rep long")
     pairs = spark.createDataFrame([(1, 2), (3, 2), (3, 4)], "a long, b long")
     one, two = {1, 10, 11}, {2, 20, 21, 22}
     full = {(a, b) for a in one | {3} for b in two} | {(3, 4)}
-    got = [tuple(r) for r in corpora.expand(pairs, members).collect()]
+    got = [(r["a"], r["b"]) for r in corpora.expand(pairs, members).collect()]
     assert len(got) == len(full) and set(got) == full
     inner = [tuple(r) for r in corpora.among(members).collect()]
     assert set(inner) == {(a, b) for s in (one, two) for a in s for b in s if a < b} and len(inner) == 9
-    monkeypatch.setattr(corpora, "EXPANDED", 5)
-    got = [tuple(r) for r in corpora.expand(pairs, members).collect()]
-    star = {(1, b) for b in two} | {(a, 2) for a in one} | {(3, b) for b in two} | {(3, 4)}
-    assert len(got) == len(star) and set(got) == star
-    assert {tuple(r) for r in corpora.among(members).collect()} == {(1, 10), (1, 11), (10, 11), (2, 20), (2, 21), (2, 22)}
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 500 + k) for k in range(40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(5, 5), (9, 8)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    while any(root[a] != root[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = [tuple(r) for r in corpora.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert len(got) == len(root) and dict(got) == root
+    assert corpora.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_hot_copies_are_all_paired(spark, tmp_path):
@@ -278,7 +288,10 @@ def test_hot_copies_are_all_paired(spark, tmp_path):
 
 
 def test_classes(spark, tmp_path):
-    texts = ["a b c d e f g h", "A b c d, e f g h", "a b c d e f g x", "q r s t u v", None]
-    d = tables(spark, tmp_path, texts, ["train"] * 5)
-    got = {(r["corpus"], r["row_index"]): (r["class_row"], r["links"]) for r in neardup.classes(spark, d).collect()}
-    assert got[("convai2", 0)] == got[("convai2", 1)] == (0, 1) and got[("convai2", 2)] == (2, 1) and got[("convai2", 3)] == (3, 0) and ("convai2", 4) not in got
+    w = [f"w{i}" for i in range(20)]
+    second = w[:17] + ["x", "y", "z"]
+    texts = [" ".join(w), ", ".join(w).upper(), " ".join(second), "q r s t u v", None, " ".join(["k", "l", "m", *second[3:]]), "z"]
+    d = tables(spark, tmp_path, texts, ["train"] * 7)
+    got = {(r["corpus"], r["row_index"]): (r["class_row"], r["group_row"], r["links"]) for r in neardup.classes(spark, d).collect()}
+    assert got[("convai2", 0)] == got[("convai2", 1)] == (0, 0, 1) and got[("convai2", 2)] == (2, 0, 2) and got[("convai2", 3)] == (3, 3, 0)
+    assert got[("convai2", 5)] == (5, 0, 1) and got[("convai2", 6)] == (6, 6, 0) and ("convai2", 4) not in got  # the last is only linked through the second

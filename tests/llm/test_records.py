@@ -45,6 +45,32 @@ def test_assembly(spark):
     assert conversations.assemble(messages(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("timed", [False, True])
+def test_gaps_at_the_seams_of_fragments(spark, timed):
+    """One message is missing at every place in turn, doubled or spoken by the other side; only the whole conversation is rebuilt."""
+    n = 4 * conversations.STEP + 2
+    rows = []
+    for lost in [None, *range(n)]:
+        for kind in ("lost", "double", "role") if lost is not None else ("whole",):
+            name = f"{kind} {lost}"
+            for i in range(n):
+                if kind == "lost" and i == lost:
+                    continue
+                role = ("user", "assistant")[(i + (kind == "role" and i == lost)) % 2]
+                rows.append((name, None if timed else i, role, f"m{i}", i))
+                if kind == "double" and i == lost:
+                    rows.append((name, None if timed else i, role, "other", i))
+    got = Counter(r["conversation_id"] for r in conversations.assemble(messages(spark, rows)).collect())
+    assert set(got) == {"whole None"} and got["whole None"] == n
+
+
+def test_lengths_around_the_step(spark):
+    lengths = [n for k in (1, 2, 3) for n in range(2 * (k * conversations.STEP // 2) - 2, 2 * (k * conversations.STEP // 2) + 4, 2) if n > 0]
+    rows = [(f"{start} {n}", start + i, "user" if i % 2 == 0 else "bot", "same", 0) for start in (0, 1) for n in lengths for i in range(n)]
+    got = Counter(r["conversation_id"] for r in conversations.assemble(messages(spark, rows)).collect())
+    assert got == {f"{start} {n}": n for start in (0, 1) for n in lengths}
+
+
 def test_one_long_conversation(spark):
     n = 3000
     rows = [("big", None, "user" if i % 2 == 0 else "assistant", "same text", i) for i in range(n)]
@@ -153,6 +179,23 @@ def test_late_refusal_is_voted():
     assert len(answer) > 450 and defects.votes(PROMPT, answer)["refusal"][1] == "1"
 
 
+def test_cutoffs_are_validated_on_labelled_rows():
+    assert defects.cutoff(np.array([0.99, 0.9, 0.8, 0.6, 0.1]), np.array([1, 1, 1, 0, 0.0])) == pytest.approx(0.7)
+    assert defects.cutoff(np.array([0.9, 0.9, 0.7]), np.array([1, 0, 1.0])) == 0.5 and defects.cutoff(np.zeros(0), np.zeros(0)) == 0.5
+    sound = [(PROMPT, ANSWERS[None][0] + " He smiles at the old dog and the cat."), ("Eu gosto de andar na praia com o meu cão e não de ficar em casa.", "Uma mulher está na praia com um cão e o mar por perto. Ela sorri.")]
+    rows = defects.constructed(sound)
+    assert {d for _, _, d in rows} == {None, *defects.DEFECTS} and defects.constructed(sound) == rows
+    for prompt, answer, defect in rows:
+        if defect is not None:
+            assert "1" in defects.votes(prompt, answer)[defect], (answer, defect)
+
+
+def test_likeliest_defect_is_reported(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, "copy", 0.7), (1, "truncated", 0.9), (2, "truncated", 0.99999), (2, "empty", 0.99996)], "row_index long, defect string, posterior double")
+    monkeypatch.setattr(defects, "labels", lambda spark, d: rows)
+    assert {r["row_index"]: r["defect"] for r in defects.found(spark, "").collect()} == {1: "truncated", 2: "empty"}
+
+
 def test_label_model_weighs_votes():
     patterns, counts = ["111", "000", "100", "011", "---"], np.array([50, 900, 30, 10, 10.0])
     q = defects.fit(patterns, counts)
@@ -205,6 +248,60 @@ def test_packing_plan():
     assert sum(t for t, _ in packing.plan({6: 2, 4: 2, 5: 2}, 10)) == 3
 
 
+def brute_force(items, capacity):
+    """The fewest containers, by trying every container for every item."""
+    best = len(items)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(items):
+            best = len(rooms)
+            return
+        for i in range(len(rooms)):
+            if rooms[i] >= items[k] and rooms[i] not in rooms[:i]:
+                put(k + 1, [*rooms[:i], rooms[i] - items[k], *rooms[i + 1 :]])
+        put(k + 1, [*rooms, capacity - items[k]])
+
+    put(0, [])
+    return best
+
+
+def test_search_to_the_end_is_optimal():
+    rng = random.Random(3)
+    for _ in range(150):
+        capacity = rng.randint(10, 40)
+        items = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
+        fills = packing.plan(dict(Counter(items)), capacity, None)
+        assert sum(t for t, _ in fills) == brute_force(items, capacity) and packing.lower_bound(Counter(items), capacity) <= brute_force(items, capacity)
+        placed = Counter()
+        for times, fill in fills:
+            assert sum(fill) <= capacity
+            for x in fill:
+                placed[x] += times
+        assert placed == Counter(items)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_triplets_are_packed_without_waste(seed):
+    """Three items fill each container exactly: best fit needs a fifth more containers, the search none."""
+    rng, capacity, items = random.Random(seed), 1000, []
+    for _ in range(20):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, max(251, (capacity - a) // 2))
+        items += [a, b, capacity - a - b]
+    counts = dict(Counter(items))
+    assert sum(t for t, _ in packing.plan(counts, capacity)) == 20 < sum(t for t, _ in packing.best_fit(counts, capacity))
+
+
+def test_fillings_are_undominated():
+    counts = Counter([5, 4, 3, 3, 2])
+    found = packing.completions(sorted(counts), counts, 7, 7)
+    assert found[0] == [5, 2] and all(sum(c) <= 7 for c in found) and [3] not in found and [2] not in found
+    assert [4, 3] in found and [5, 2] in found and len(found) == len(set(map(tuple, found)))
+
+
 def test_pack(spark):
     rows = [(i, n) for i, n in enumerate([0, None, 3, 3, 3, 7, 7, 10, 11, 25, 20, 4, 4, 1])] + [(2, 3)]
     d = spark.createDataFrame(rows, "doc_id long, tokens long").selectExpr("*", "'c' as container", "1 as salt")
@@ -238,6 +335,29 @@ def test_raking():
     assert mixing.rake({}, wanted) == {} and mixing.rake(available, []) == {}
 
 
+def test_topics_are_clusters(spark):
+    rng = random.Random(6)
+    themes = [[f"{t}{i}" for i in range(30)] for t in "abc"]
+    texts = [" ".join(rng.choice(themes[k % 3]) for _ in range(40)) for k in range(90)] + [None, ""]
+    v = mixing.vectors(texts)
+    assert v.shape == (92, mixing.TERMS) and not v[90:].any()
+    weights, centres = mixing.fit_topics(v, 3)
+    of = ((v[:90] * weights) @ centres.T).argmax(axis=1)
+    assert all(len(set(of[k::3].tolist())) == 1 for k in range(3)) and len(set(of.tolist())) == 3
+    assert len(mixing.fit_topics(v[90:], 3)[1]) == 0 and len(mixing.fit_topics(np.repeat(v[:1], 5, axis=0), 3)[1]) == 1
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert mixing.sampled(d).shape == (92, mixing.TERMS) and mixing.sampled(d.limit(0)).shape == (0, mixing.TERMS)
+
+
+def test_shares_name_what_can_be_reached(spark, tmp_path):
+    docs = [(i, f"word{i} and some more text {i}", "en", "ab"[i % 2]) for i in range(200)] + [(900, None, None, "a"), (901, "", "en", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.3, 2), ("b", 0.5, 3), ("none", 0.2, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r["source"]: r for r in mixing.shares(spark, str(tmp_path)).collect()}
+    assert got["a"]["reachable_share"] == pytest.approx(0.375) and got["none"]["reachable_share"] == 0 == got["none"]["actual_share"]
+    assert abs(got["a"]["actual_share"] - 0.375) < 0.02 and got["b"]["most_uses"] <= 3
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     docs = [(i, rng.choice("aab"), rng.choice(["en", "pt"]), rng.choice(["card", "tags"]), rng.randrange(0, 50), rng.randrange(mixing.BINS**2)) for i in range(4000)]
