@@ -175,7 +175,7 @@ _SCHEMA = " UNION ALL ".join(f"""SELECT '{t}' AS dataset, column_name AS "column
 def oracle() -> dict[str, str]:
     from .catalog import DAMAGE
 
-    pairs = [("persona-id", "persona_revised"), ("persona_original", "persona_revised"), ("persona-id", "enhancer"), ("persona-id", "created_at")]
+    pairs = [("persona-id", "persona_revised"), ("persona_original", "persona_revised"), ("persona-id", "enhancer"), ("persona-id", "row_index")]
     uniques = [("your_persona_original", "partner_persona_original"), ("your_persona_revised", "partner_persona_revised"), ("your_persona_revised", "dialog"), ("dialog", "enhancer")]
     flat = lambda c: f"nullif({strip(f'\"{c}\"')}, '')"
     one, two = ordered("your_persona_original"), ordered("partner_persona_original")
