@@ -39,8 +39,8 @@ def dictionary(cells: DataFrame) -> DataFrame:
     values = cells.where("value is not null").groupBy(*(list_hash(k, F.col("value")).alias(f"k{k}") for k in (1, 2))).agg(F.first("value").alias("value"))
     forms = values.select("k1", "k2", canonical(F.col("value")).alias("form"))
     forms = forms.where(F.size("form") > 0).select("k1", "k2", *(list_hash(k, F.col("form")).alias(f"f{k}") for k in (1, 2)))
-    distinct = cut(forms.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("spellings")))
-    part = distinct.select("f1", "f2", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    distinct = cut(forms.select("f1", "f2").distinct().withColumn("row", F.monotonically_increasing_id()))
+    part = distinct.select("f1", "f2", F.shiftright("row", 33).alias("part"), F.col("row").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     counts = sorted((r["part"], r["n"]) for r in part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per partition
     offset, starts = 0, {}
     for p, n in counts:

@@ -101,10 +101,10 @@ def copies(rows: DataFrame) -> DataFrame:
     """(rid, rep): rows whose words in order equal those of an earlier row with the same ``side`` and corpus; rep is the smallest.
 
     Only hashes are shuffled; the grouping is partial before the shuffle, so a class that holds a third of all rows is
-    no hot spot. Written once, since several stages read it.
+    no hot spot. Texts are hashed once; members are written, since several stages read them.
     """
     keys = rows.select("rid", "side", "talk").mapInArrow(_with_side(by_batches(_keys)), "rid long, side int, k1 long, k2 long")
-    keys = keys.withColumn("corpus", F.col("rid") % 2)
+    keys = cut(keys.withColumn("corpus", F.col("rid") % 2))
     on = ["corpus", "side", "k1", "k2"]
     classes = keys.groupBy(*on).agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return cut(keys.join(classes, on).where("rid <> rep").select("rid", "rep"))

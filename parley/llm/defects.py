@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,23 +45,29 @@ COMMON = {
     "it": "il lo la i gli le un una di del della nel nella in con per che non e ma io mio mia è al sono quando mai vicino si sul sulla",
     "nl": "de het een en is in op met voor van te niet ik mijn hij zij aan bij als naast nooit maar zich er",
 }
-_COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
+_SPEAKS: dict[str, tuple[str, ...]] = {w: tuple(k for k, v in COMMON.items() if w in v.split()) for v in COMMON.values() for w in v.split()}
 #: Letters that only some of the languages have.
 LETTERS = {"ã": "pt", "õ": "pt", "ñ": "es", "¿": "es", "¡": "es", "ß": "de", "ä": "de", "œ": "fr", "è": "fr it", "ê": "fr pt", "ù": "fr it", "î": "fr"}
 
 _ABLE = r"(?:can(?:no|['’])t|can not|could(?:n['’]t| not)|unable to|not able to|won['’]t(?: be able to)?|will not|not (?:be )?(?:comfortable|permitted|allowed)(?: to)?|must (?:decline|refuse)(?: to)?|(?:have|need) to decline|decline to|refuse to)"
 _DO = r"(?:help (?:you )?(?:with|to)|assist|describ|creat|generat|rewrit|fulfil|produc|depict|provid|offer|comply|complet|do (?:that|this)|continue|writ|discuss|enhanc|expand|answer|process|support|respond)"
 _CANNOT = re.compile(rf"\b(?:i|we)\b[^.!?\"“”]{{0,40}}{_ABLE}[^.!?\"“”]{{0,25}}{_DO}|{_ABLE}[^.!?\"“”]{{0,12}}\b(?:help|assist|comply)\b(?! \w+ing)[^.!?]*|not possible for (?:me|us)|(?:isn['’]t|is not|not) something (?:i|we) can|beyond (?:my|what i)|against my (?:guidelines|polic)|i (?:must|have to) (?:decline|refuse|pass)|(?:don['’]t|do not) feel comfortable|(?:keep|prevent|stop|bar)s? me from|off the table|limits to what (?:i|we)|request declined|(?:policy|rules|guidelines) (?:does|do) not allow|no (?:description|image|prompt|portrait|answer|output|text) (?:will|can|could) be|breaks? the [a-z ]*rules|against the [a-z ]*rules|have no way to|rather not|leave (?:this|it) (?:blank|empty)|outside (?:of )?(?:what|my)|not permitted|not allowed|\b(?:não posso|no puedo|je ne peux pas|kann ich (?:leider )?nicht|lo siento|desculpe|désolé|tut mir leid)\b", re.I)
+#: Parts of which every match of _CANNOT has at least one; a text without any is not searched.
+_HINTS = ("cannot", "can't", "can’t", "can not", "could", "unable", "not able", "won't", "won’t", "will not", "comfortable", "permitted", "allow", "decline", "refuse", "possible for", "something", "beyond", "against", "to pass", "must pass", "me from", "off the table", "limits to what", "will be", "can be", "rules", "no way", "rather not", "leave", "outside", "posso", "puedo", "peux", "kann ich", "siento", "desculpe", "désolé", "mir leid")
 _SORRY = re.compile(r"^\W*(?:(?:i['’]?m|i am|we['’]?re|we are)?\s*(?:very |so |really )?(?:sorry|afraid)\b|unfortunately|apologies|my apologies|i apologi[sz]e|regrettably|(?:as|being) an? (?:ai|language model|assistant)|thank you for [^.!?]*[.!?] (?:however|but|unfortunately))", re.I)
 #: Words by which an answer speaks of the task instead of the person, and of itself.
 _TASK = re.compile(r"\b(?:requests?|persona|descriptions?|describing|prompts?|guidelines|instructions|polic(?:y|ies)|content|ai|language model|(?:this|that) text|these sentences|individuals|private people|permitted|comfortable|rewrit\w+|generat\w+|fulfil\w*|assist(?! to)|enhanc\w+|sensitive|creat(?:e|ing)|picture|reveal|limits|draw)\b", re.I)
 _SELF = re.compile(r"\b(?:i|i['’]m|i['’]d|me|my|we|us)\b", re.I)
 
 
+_LETTER, _NOT_WORD = re.compile("[A-Za-z]"), re.compile(r"[\W_]+")
+
+
 def languages(text: str) -> tuple[str | None, dict[str, float]]:
     """The language by its common words, or None if there are too few; and the share of each language's common words."""
     w = WORD.findall(text.lower())
-    share = {k: sum(x in c for x in w) / max(1, len(w)) for k, c in _COMMON.items()}
+    n = Counter(k for x in w if x in _SPEAKS for k in _SPEAKS[x])
+    share = {k: n[k] / max(1, len(w)) for k in COMMON}
     best = sorted(share, key=share.get, reverse=True)
     clear = len(w) >= 4 and share[best[0]] >= 0.08 and share[best[0]] > 1.2 * share[best[1]]
     return (best[0] if clear else None), share
@@ -68,13 +75,16 @@ def languages(text: str) -> tuple[str | None, dict[str, float]]:
 
 def script(text: str) -> str | None:
     """The script of most letters: latin, other (by Unicode block start), or None without letters."""
+    if text.isascii():
+        return "latin" if _LETTER.search(text) else None
     letters = [ch for ch in text if ch.isalpha()]
     latin = sum(ch < "ɐ" or "Ḁ" <= ch <= "ỿ" for ch in letters)
     return None if not letters else "latin" if 2 * latin >= len(letters) else "other"
 
 
 def bare(text: str) -> str:
-    return "".join(ch for ch in text.lower() if ch.isalnum())
+    """Letters and digits in lower case."""
+    return _NOT_WORD.sub("", text.lower())
 
 
 def leftover(prompt: str, answer: str) -> tuple[int, int, int]:
@@ -91,19 +101,20 @@ def leftover(prompt: str, answer: str) -> tuple[int, int, int]:
     return at, len(a) - at - taken, taken
 
 
-def votes(prompt: str | None, answer: str | None) -> dict[str, str]:
+def votes(prompt: str | None, answer: str | None, end: endings.Ending | None = None) -> dict[str, str]:
     """The votes of each defect's labelling functions; '?' is what the dictionary of list items decides."""
     out = {}
     text = endings.unwrap(answer)
     plain = bare(text)
-    end = endings.look(answer)
+    end = end or endings.look(answer)
     words = WORD.findall(text.lower())
     vote = lambda *v: "".join("-" if x is None else str(int(x)) for x in v)
 
     stand_in = plain in STAND_INS or re.fullmatch(r"n\W?a", text.strip(" \"'()[]<>.").lower()) is not None
     out["empty"] = vote(True if not plain else None if stand_in else False, stand_in or not plain, len(plain) < 12, True if not (answer or "").strip() else None)
 
-    able, sorry = bool(_CANNOT.search(text)), bool(_SORRY.search(text))
+    low = text.lower()
+    able, sorry = any(h in low for h in _HINTS) and bool(_CANNOT.search(text)), bool(_SORRY.search(text))
     quoted = text[:1] in "\"“”'‘«" and not sorry or bool(re.match(r"[\"“”][^\"“”]*[\"“”]", text))
     out["refusal"] = vote(sorry and not quoted, able and not quoted, None if len(words) <= 45 else False, bool(_TASK.search(text)) and (bool(_SELF.search(text)) or sorry or able) and not quoted, False if quoted or not words else None)
 
@@ -111,7 +122,7 @@ def votes(prompt: str | None, answer: str | None) -> dict[str, str]:
     asked, asked_shares = languages(prompt or "")
     scripts = script(prompt or ""), script(text)
     known = bool((prompt or "").strip()) and len(plain) >= 4
-    foreign = [LETTERS[c].split() for c in text.lower() if c in LETTERS]
+    foreign = [] if text.isascii() else [LETTERS[c].split() for c in text.lower() if c in LETTERS]
     odd = asked is not None and sum(asked not in x for x in foreign) >= 2 and not any(c in LETTERS and asked in LETTERS[c] for c in text.lower())
     out["other_language"] = vote(
         None if not known or None in scripts else scripts[0] != scripts[1] or (False if said == asked or said is None or asked is None else True),
@@ -146,8 +157,8 @@ def voted(rows: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             prompts, answers = batch.column("prompt").to_pylist(), batch.column("answer").to_pylist()
-            v = [votes(p, a) for p, a in zip(prompts, answers)]
             e = [endings.look(a) for a in answers]
+            v = [votes(*x) for x in zip(prompts, answers, e)]
             arrays = [batch.column("id"), *(pa.array([x[d] for x in v]) for d in DEFECTS), pa.array([x.kind for x in e]), pa.array([x.last for x in e]), pa.array([x.inner for x in e], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", *DEFECTS, "kind", "last", "inner"])
 

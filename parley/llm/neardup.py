@@ -130,7 +130,7 @@ def candidates(reps: DataFrame) -> DataFrame:
 
 
 def attach(pairs: DataFrame, values: DataFrame, names: dict[str, str]) -> DataFrame:
-    """``pairs`` with the columns of ``values`` (by rid) for a and for b."""
+    """``pairs`` with the columns of ``values`` (by rid) for a and for b. ``values`` are read twice, so they should be written."""
     for side in ("a", "b"):
         pairs = pairs.join(values.select(F.col("rid").alias(side), *(F.col(c).alias(f"{short}{side}") for c, short in names.items())), side)
     return pairs
@@ -154,8 +154,8 @@ def similar(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     likely = pairs
     for column, width in (("short", SHORT), ("sig", REGISTERS)):
         signed = involved(reps, likely).select("rid", "talk").mapInArrow(corpora.by_batches(_signed), "rid long, n int, short binary, sig binary")
-        likely = cut(attach(likely, signed.select("rid", "n", column), {"n": "n", column: "s"}).mapInArrow(_estimated(threshold, width), "a long, b long"))
-    sets = involved(reps, likely).select("rid", "talk").mapInArrow(corpora.by_batches(_sets), "rid long, grams array<long>")
+        likely = cut(attach(likely, cut(signed.select("rid", "n", column)), {"n": "n", column: "s"}).mapInArrow(_estimated(threshold, width), "a long, b long"))
+    sets = cut(involved(reps, likely).select("rid", "talk").mapInArrow(corpora.by_batches(_sets), "rid long, grams array<long>"))
     both = attach(likely, sets, {"grams": "g"})
     shared = F.size(F.array_intersect("ga", "gb"))
     exact = both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)

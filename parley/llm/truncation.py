@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,20 +54,22 @@ def continued(texts: DataFrame) -> DataFrame:
     task. Null and the empty text are no prefixes.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(texts.where("text <> ''").select("text").distinct().repartitionByRange(parts, "text").sortWithinPartitions("text").withColumn("part", F.spark_partition_id()))
+    ranged = texts.where("text <> ''").select("text").distinct().repartitionByRange(parts, "text").sortWithinPartitions("text")
 
     def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[str] = []
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], ["text", "rest", "part", "first"])
+        part, first, last = TaskContext.get().partitionId(), None, []
         for batch in it:
             run = last + batch.column("text").to_pylist()
-            pairs = [(a, b[len(a) :]) for a, b in zip(run, run[1:]) if b.startswith(a)]
+            first = run[0] if first is None and run else first
+            yield out([(a, b[len(a) :], None, None) for a, b in zip(run, run[1:]) if b.startswith(a)])
             last = run[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["text", "rest"])
+        yield out([(x, None, part, first) for x in last])
 
-    ends = ranged.groupBy("part").agg(F.min("text").alias("first"), F.max("text").alias("text"))
-    nxt = ends.select("text", F.lead("first").over(Window.orderBy("part")).alias("next"))  # a row for each task
-    across = nxt.where(F.startswith("next", "text")).select("text", F.expr("substring(next, length(text) + 1)").alias("rest"))
-    return ranged.select("text").mapInArrow(walk, "text string, rest string").unionByName(across)
+    seen = cut(ranged.mapInArrow(walk, "text string, rest string, part int, first string"))
+    ends = seen.where("part is not null").select("text", F.lead("first").over(Window.orderBy("part")).alias("next"))  # a row for each task
+    across = ends.where(F.startswith("next", "text")).select("text", F.expr("substring(next, length(text) + 1)").alias("rest"))
+    return seen.where("part is null").select("text", "rest").unionByName(across)
 
 
 def complete_items(seen: DataFrame) -> DataFrame:
