@@ -113,6 +113,11 @@ def target_name(repo: Column, suffix: Column, variant: Column) -> Column:
     return F.concat(part(1), F.lit("/"), part(2), F.lit("-"), suffix, F.lit("-"), variant)
 
 
+def request_position(c: Column) -> Column:
+    """The number before the first underscore of a request id; null if there is none."""
+    return F.substring_index(c, "_", 1).try_cast("long")
+
+
 def bullets(sentences: Column) -> Column:
     """One sentence a line, each after a dash."""
     return F.concat(F.lit("- "), F.array_join(sentences, "\n- "))

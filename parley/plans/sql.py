@@ -173,7 +173,12 @@ _SCHEMA = " UNION ALL ".join(f"""SELECT '{t}' AS dataset, column_name AS "column
 
 
 def oracle() -> dict[str, str]:
-    from .catalog import DAMAGE
+    import hashlib
+
+    import numpy as np
+
+    from ..functions.images import encode_png
+    from .catalog import DAMAGE, LIMIT
 
     pairs = [("persona-id", "persona_revised"), ("persona_original", "persona_revised"), ("persona-id", "enhancer"), ("persona-id", "row_index")]
     uniques = [("your_persona_original", "partner_persona_original"), ("your_persona_revised", "partner_persona_revised"), ("your_persona_revised", "dialog"), ("dialog", "enhancer")]
@@ -257,6 +262,14 @@ SELECT corpus, dialog, split, id AS first FROM u WHERE dialog IS NOT NULL QUALIF
         "persona_mapping_ordered": f"WITH {canon}, u AS (SELECT DISTINCT {joined('p', chr(39) + ' ' + chr(39))} AS x FROM t WHERE p IS NOT NULL) SELECT row_number() OVER (ORDER BY x) - 1 AS row_index, sha256(x) AS persona_id, x AS persona_revised FROM u",
         "stub_enhance": f"""WITH p AS (SELECT row_index, {text(TEXT_PROMPT)} || {strip("coalesce(persona_original, 'None')")} AS prompt FROM persona_mapping)
 SELECT row_index, CASE WHEN length(prompt) % 7 = 0 THEN prompt ELSE {cleaned("prompt")} END AS enhanced_description, length(prompt) % 7 = 0 AS failed FROM p""",
+        "text_run": f"""WITH p AS (SELECT row_index, "persona-id" AS persona_id, {text(TEXT_PROMPT)} || {strip("coalesce(persona_original, 'None')")} AS prompt FROM persona_mapping)
+SELECT row_index, persona_id, CASE WHEN length(prompt) % 7 = 0 THEN prompt ELSE {cleaned("prompt")} END AS enhanced FROM p""",
+        "image_run": f"""WITH p AS (SELECT row_index, "persona-id" AS persona_id, length({text(IMAGE_PROMPT)} || {strip("coalesce(persona_original, 'None')")}) % 7 AS n FROM persona_mapping)
+SELECT row_index, persona_id, printf('images/%09d.png', row_index) AS image_path, CASE n {" ".join(f"WHEN {k} THEN '{hashlib.sha256(encode_png(np.full((1, 1, 3), k * 30, np.uint8))).hexdigest()}'" for k in range(1, 7))} END AS digest FROM p WHERE n > 0""",
+        "request_positions": "SELECT floor(row_index / 8)::BIGINT AS batch, string_agg(row_index, ',' ORDER BY row_index % 8) AS rows, list_sort(list(row_index % 8)) = range(count(*)) AS whole FROM persona_mapping GROUP BY 1",
+        "corpus_read_back": f"SELECT row_index, conversation_id, array_to_string(your_persona, '|') AS your_persona, 'train' AS split FROM convai2_conversations WHERE {_SPLIT} = 'train' AND row_index < {LIMIT}",
+        "column_discovery": " UNION ALL ".join(f"""SELECT '{t}' AS dataset, column_name AS "column", {str(t == "persona_mapping").lower()} AS has_enhanced FROM (DESCRIBE {t}) WHERE column_name ILIKE '%persona%'""" for t in _TABLES),
+        "first_episodes": f"WITH {written_lines(f'CASE row_index % 10 {damage} ELSE []::VARCHAR[] END')}, {parsed} SELECT split, line_no, value FROM x WHERE episode = 1",
         "line_numbered_roundtrip": f"""WITH {lines}, {parsed}, bad AS (SELECT DISTINCT split, episode FROM refused WHERE kind IS NOT NULL), nr AS (SELECT split, row_index, row_number() OVER (PARTITION BY split ORDER BY row_index) AS episode FROM body WHERE len(b) > 0)
 SELECT body.split AS source_split, sha256('both_revised_no_cands' || chr(0) || body.split || chr(0) || (nr.episode - 1)::VARCHAR) AS conversation_id, {joined(each("one", strip("s")), "'|'")} AS your_persona, {joined(each("two", strip("s")), "'|'")} AS partner_persona, len(said)::INTEGER AS n_turns,
 array_to_string(list_transform(said, lambda t, i: (i - 1) || '~' || {strip("t.a")} || '~' || {strip("t.b")}), '|') AS turns FROM body JOIN nr ON nr.split = body.split AND nr.row_index = body.row_index LEFT JOIN bad ON bad.split = nr.split AND bad.episode = nr.episode WHERE bad.episode IS NULL""",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,21 +33,53 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared checkpoint folder.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; a local one is set only where the session names none (tests).
-    A lost executor loses nothing, since the files are shared.
-    """
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir``; a local one is set only where the session names none (tests)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = sc.getConf().get("spark.checkpoint.dir", None)
         if not where:
             if not sc.master.startswith("local"):
                 raise RuntimeError("a cluster must name spark.checkpoint.dir")
             where = tempfile.mkdtemp(prefix="parley-checkpoint-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared one, for what a query writes and reads back."""
+    where = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/" + where.removeprefix("file:").lstrip("/") if where.startswith("file:") else where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written as a table in the shared checkpoint folder and read back, column by column.
+
+    A lost executor loses nothing, since the files are shared. They are deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    where = f"{shared(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    _written(spark).append(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
+def _written(spark: SparkSession) -> list[str]:
+    """The tables that cut() has written with this session's context, which are deleted before it ends."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_parley_written"):
+        sc._parley_written = []
+        atexit.register(_clear, spark, sc._parley_written)
+    return sc._parley_written
+
+
+def _clear(spark: SparkSession, paths: list[str]) -> None:
+    with contextlib.suppress(Exception):  # a context that has ended can't delete any more
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        for p in paths:
+            where = hadoop.Path(p)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:

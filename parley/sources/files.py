@@ -15,7 +15,9 @@ def resolve(path: str) -> tuple[Any, str]:
     """The file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def write_whole(path: str, content: bytes) -> None:
