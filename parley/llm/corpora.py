@@ -82,6 +82,32 @@ def list_array(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)))
 
 
+def by_runs(names: list[str], scan: Callable[..., pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function from one of whole runs of rows, sorted by the first of the columns ``names``.
+
+    The last run of a batch may go on in the next and waits for it.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list = []
+        for batch in it:
+            rest.append(batch)
+            if not batch.num_rows or batch.column(names[0])[0].as_py() == batch.column(names[0])[batch.num_rows - 1].as_py():
+                continue  # no run ends here for certain
+            table = pa.Table.from_batches(rest).combine_chunks()
+            key = table.column(names[0]).to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))
+            if whole:
+                yield scan(*(table.column(n).slice(0, whole) for n in names))
+            rest = table.slice(whole).to_batches()
+        if rest:
+            table = pa.Table.from_batches(rest)
+            if table.num_rows:
+                yield scan(*(table.column(n) for n in names))
+
+    return run
+
+
 def _keys(rid: np.ndarray, texts: list[str | None]) -> pa.RecordBatch:
     """The hash of each text's sequence of words, in 128 bits; texts without words are left out."""
     flat, counts = shingles.words(texts)
@@ -107,7 +133,7 @@ def copies(rows: DataFrame) -> DataFrame:
     keys = cut(keys.withColumn("corpus", F.col("rid") % 2))
     on = ["corpus", "side", "k1", "k2"]
     classes = keys.groupBy(*on).agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return cut(keys.join(classes, on).where("rid <> rep").select("rid", "rep"))
+    return cut(keys.join(small(cut(classes)), on).where("rid <> rep").select("rid", "rep"))
 
 
 def _with_side(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
