@@ -82,28 +82,38 @@ def list_array(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)))
 
 
-def by_runs(names: list[str], scan: Callable[..., pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Rows of one run that a worker holds; of a longer run it gives parts of the result beforehand.
+HELD_ROWS = 4_000_000
+
+
+def by_runs(names: list[str], scan: Callable[..., pa.RecordBatch], overflow: Callable[..., tuple[pa.RecordBatch, dict]] | None = None, most: int = HELD_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from one of whole runs of rows, sorted by the first of the columns ``names``.
 
-    The last run of a batch may go on in the next and waits for it.
+    The last run of a batch may go on in the next and waits for it. When more than ``most`` rows of one run are waiting,
+    ``overflow`` takes them and gives what they come to so far, and the rows that stand for them from there on.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list = []
         for batch in it:
+            if not batch.num_rows:
+                continue
             rest.append(batch)
-            if not batch.num_rows or batch.column(names[0])[0].as_py() == batch.column(names[0])[batch.num_rows - 1].as_py():
-                continue  # no run ends here for certain
+            if rest[0].column(names[0])[0].as_py() == batch.column(names[0])[batch.num_rows - 1].as_py():
+                if overflow is not None and sum(b.num_rows for b in rest) > most:  # one run so far
+                    table = pa.Table.from_batches(rest)
+                    out, kept = overflow(*(table.column(n) for n in names))
+                    yield out
+                    rest = pa.table({n: kept[n] for n in batch.schema.names}, schema=batch.schema).to_batches()
+                continue
             table = pa.Table.from_batches(rest).combine_chunks()
             key = table.column(names[0]).to_numpy()
             whole = int(np.searchsorted(key, key[-1]))
-            if whole:
-                yield scan(*(table.column(n).slice(0, whole) for n in names))
+            yield scan(*(table.column(n).slice(0, whole) for n in names))
             rest = table.slice(whole).to_batches()
         if rest:
             table = pa.Table.from_batches(rest)
-            if table.num_rows:
-                yield scan(*(table.column(n) for n in names))
+            yield scan(*(table.column(n) for n in names))
 
     return run
 

@@ -3,8 +3,10 @@
 import json
 import random
 import re
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm import corpora, crosssplit, matching, neardup, shingles
@@ -212,9 +214,11 @@ def test_matching_with_one_persona(spark):
     assert {(r["convai2_row"], r["personachat_row"]) for r in got} == {(i, i) for i in range(6)} and all(r["rule"] in matching.RULES[2:5] for r in got)
 
 
-def test_common_values_are_matched_in_combination(spark, monkeypatch):
+@pytest.mark.parametrize("hot, sample", [(matching.HOT, matching.HOT_SAMPLE), (5, 1.0)])
+def test_common_values_are_matched_in_combination(spark, monkeypatch, hot, sample):
     """No utterance is rare, so pairs come from two common ones, with a sentence where those are common as well."""
-    monkeypatch.setattr(matching, "RARE", 3)
+    for name, value in (("RARE", 3), ("HOT", hot), ("HOT_SAMPLE", sample)):
+        monkeypatch.setattr(matching, name, value)
     rng = random.Random(4)
     lines = [f"common line number {i} of the talk" for i in range(14)]
     rows, want = [], set()
@@ -229,6 +233,31 @@ def test_common_values_are_matched_in_combination(spark, monkeypatch):
     assert {(r["convai2_row"], r["personachat_row"]) for r in got} == want and {r["rule"] for r in got} == {matching.RULES[3]}
 
 
+def test_long_runs_are_given_in_parts():
+    """What is found of a run does not depend on how much of it is held."""
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 12, 400))
+    rid = np.arange(400)
+    batches = lambda names, cols, n: iter([pa.RecordBatch.from_arrays([pa.array(c[i : i + n]) for c in cols], names) for i in range(0, 400, n)])
+    want = {(int(k), int(r)) for k, r in zip(key, rid)}
+    for most in (10**6, 20):
+        run = corpora.by_runs(["key", "rid"], partial(matching._met, 4), matching._met_open, most)
+        out = pa.Table.from_batches(run(batches(["key", "rid"], (key, rid), 7))).to_pydict()
+        assert set(zip(out["key"], out["a"])) == want and set(out["b"]) == {-1}
+    # suffixes: training and held-out records of each key, held-out ones first
+    kind = rng.integers(0, 2, 400)
+    who = rid * 4 + kind
+    order = np.lexsort((who, -kind, key))
+    pairs = {(int(a), int(b)) for k in range(12) for a in rid[(key == k) & (kind == 1)] for b in rid[(key == k) & (kind == 0)]}
+    for most in (10**6, 15):
+        run = corpora.by_runs(["key", "who"], partial(crosssplit._listed, 3), partial(crosssplit._listed_open, 3), most)
+        got = [(r["a"], b) for r in pa.Table.from_batches(run(batches(["key", "who"], (key[order], who[order]), 7))).to_pylist() for b in r["pairs"]]
+        assert len(got) == len(pairs) and set(got) == pairs
+    run = corpora.by_runs(["key", "who"], partial(crosssplit._scan, 16), crosssplit._scan_open, 15)
+    out = pa.Table.from_batches(run(batches(["key", "who"], (key[order], who[order]), 7))).to_pylist()
+    assert sorted((r["a"], r["key"]) for r in out if r["b"] == crosssplit.COMMON) == sorted((int(r), int(k)) for r, k in zip(rid[kind == 1], key[kind == 1]))
+
+
 def test_class_hashes_have_bounds(spark):
     """Lists with their elements elsewhere are no copies."""
     rows = [(1, [], [7], [5]), (3, [7], [], [5]), (5, [7], [5], []), (7, [], [7], [5])]
