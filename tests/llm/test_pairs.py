@@ -261,6 +261,33 @@ def test_common_values_are_matched_in_combination(spark, monkeypatch, hot, sampl
     assert {(r["convai2_row"], r["personachat_row"]) for r in got} == want and {r["rule"] for r in got} == {matching.RULES[3]}
 
 
+@pytest.mark.parametrize("rare", [0, matching.RARE])
+def test_common_values_lose_no_pair(spark, monkeypatch, rare):
+    """One utterance, or none, is equal word for word, and all that is equal may be common; a long talk has many common utterances."""
+    monkeypatch.setattr(matching, "RARE", rare)
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(16):
+        one, two = ([f"i like {rng.choice(VOCABULARY)} and {rng.choice(VOCABULARY)} on day {n}." for n in range(i * 9, i * 9 + 4)] for _ in range(2))
+        u = conversation(rng, 12)
+        noisy = [x + " oh" for x in u]
+        if i % 4 == 0:  # one utterance, three sentences
+            p, q, v = [*one[:3], "new."], ["my cat sleeps.", "my dog runs."], [u[0], *noisy[1:]]
+        elif i % 4 == 1:  # both personas
+            p, q, v = one, two, noisy
+        elif i % 4 == 2:  # one persona and a sentence
+            p, q, v = one, [two[0], "my cat sleeps.", "my dog runs.", "my car is red."], noisy
+        else:  # two utterances of very many, others between them
+            u = conversation(rng, 200)
+            p, q, v = [*one[:3], "new."], two[:3], [x if k in (40, 160) else x + " oh" for k, x in enumerate(u)]
+            p, u, v = p, [*u, *(f"yes {k}" for k in range(200))], [*v, *(f"no {k}" for k in range(200))]
+        for c, (x, y, talk) in enumerate(((one, two, u), (p, q, v))):
+            rows.append((i * 2 + c, json.dumps(x), json.dumps(y), json.dumps([{"text": a, "response": b} for a, b in zip(talk[::2], talk[1::2])])))
+        want.add((i, i))
+    got = matching.matches(spark.createDataFrame(rows, "rid long, yours string, partners string, talk string")).collect()
+    assert {(r["convai2_row"], r["personachat_row"]) for r in got} == want
+
+
 def test_long_runs_are_given_in_parts():
     """What is found of a run does not depend on how much of it is held."""
     rng = np.random.default_rng(4)
