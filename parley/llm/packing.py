@@ -146,24 +146,24 @@ def dominated(chosen: list[int], free: int, sizes: list[int], counts: dict[int,
 
 
 def branch(counts: dict[int, int], capacity: int, bound: int, best: Fills, steps: int | None) -> Fills:
-    """A packing of fewer containers than ``best`` by branch and bound, or ``best`` if there is none or the steps are used up.
+    """A packing of fewer containers than ``best`` by branch and bound, or the best there is when the steps are used up.
 
-    A packing takes as many steps as it has containers at the least; if there are fewer, nothing is tried.
+    A branch is a filling and how often it is used, the most first, so the way down to a packing is as long as there are
+    different fillings, however many items there are. A filling does not follow itself: that is the branch of once more.
     """
     counts = {s: n for s, n in counts.items() if n}
     used, items = sum(t for t, _ in best), sum(counts.values())
     left = None if steps is None else [steps]
-    if left and bound * len(counts) > left[0]:
-        return best
-    path: list[list[int]] = []
+    path: Fills = []
+    depth = 0  # containers of the path
 
-    def options() -> Iterator[list[int]]:
+    def options() -> Iterator[tuple[int, list[int]]]:
         now = {s: n for s, n in counts.items() if n}
         sizes = sorted(now)
         if left:
             left[0] -= len(sizes)
-        spare = (used - 1 - len(path)) * capacity - sum(s * n for s, n in now.items())  # waste that a better packing can have
-        if spare < 0 or len(path) + lower_bound(now, capacity) >= used:
+        spare = (used - 1 - depth) * capacity - sum(s * n for s, n in now.items())  # waste that a better packing can have
+        if spare < 0 or depth + lower_bound(now, capacity) >= used:
             return iter(())
         fewest: list[list[int]] | None = None
         for x in reversed(sizes) if not spare else sizes[-1:]:
@@ -174,25 +174,30 @@ def branch(counts: dict[int, int], capacity: int, bound: int, best: Fills, steps
                 fewest = mine
                 if len(mine) < 2:
                     break
-        return iter(fewest or ())
+        last = sorted(path[-1][1]) if path else None
+        usable = [(f, min(now[s] // f.count(s) for s in f)) for f in fewest or () if sorted(f) != last]
+        return ((t, f) for f, most in usable for t in range(most, 0, -1))
 
     stack = [options()]
     while stack and used > bound and (left is None or left[0] > 0):
-        fill = next(stack[-1], None)
-        if fill is None:
+        branch_ = next(stack[-1], None)
+        if branch_ is None:
             stack.pop()
             if path:
-                gone = path.pop()
-                items += len(gone)
+                times, gone = path.pop()
+                depth -= times
+                items += times * len(gone)
                 for s in gone:
-                    counts[s] += 1
+                    counts[s] += times
             continue
-        path.append(fill)
-        items -= len(fill)
+        times, fill = branch_
+        path.append(branch_)
+        depth += times
+        items -= times * len(fill)
         for s in fill:
-            counts[s] -= 1
-        if not items:
-            best, used = [(1, f) for f in path], len(path)
+            counts[s] -= times
+        if not items and depth < used:
+            best, used = list(path), depth
         stack.append(options())
     return best
 

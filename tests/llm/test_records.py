@@ -295,6 +295,21 @@ def test_triplets_are_packed_without_waste(seed):
     assert sum(t for t, _ in packing.plan(counts, capacity)) == 20 < sum(t for t, _ in packing.best_fit(counts, capacity))
 
 
+def test_search_does_not_depend_on_the_number_of_items():
+    """A packing that the search finds for a few items is also found for very many of the same sizes."""
+    sizes, capacity = {44: 1, 24: 2, 28: 2, 22: 3, 21: 2, 17: 1, 8: 5, 6: 4}, 100
+    for times in (1, 3, 20_000):
+        counts = {s: n * times for s, n in sizes.items()}
+        best = [(n, [s]) for s, n in counts.items()]  # an incumbent that is easily bettered
+        fills = packing.branch(counts, capacity, packing.lower_bound(counts, capacity), best, 100_000)
+        placed = Counter()
+        for n, fill in fills:
+            assert sum(fill) <= capacity
+            for x in fill:
+                placed[x] += n
+        assert placed == counts and sum(n for n, _ in fills) < 1.1 * packing.lower_bound(counts, capacity) + 1
+
+
 def test_fillings_are_undominated():
     counts = Counter([5, 4, 3, 3, 2])
     found = packing.completions(sorted(counts), counts, 7, 7)
