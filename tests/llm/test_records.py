@@ -364,6 +364,25 @@ def test_topics_are_clusters(spark):
     assert mixing.sampled(d).shape == (91, mixing.TERMS) and mixing.sampled(d.limit(0)).shape == (0, mixing.TERMS)
 
 
+def test_topics_come_from_all_documents(spark, tmp_path, monkeypatch):
+    """Topics don't change with the size of a sample, long texts count, and the fit is that of all vectors at once."""
+    rng = random.Random(8)
+    themes = [[f"{t}{i}" for i in range(30)] for t in "abc"]
+    texts = [" ".join(rng.choice(themes[k % 3]) for _ in range(40)) for k in range(120)] + [" ".join(f"long{i}" for i in range(9)) * 400, None, ""]
+    docs = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = [mixing.Target("a", 0.5, 1), mixing.Target("b", 0.5, 1)]
+    topics = lambda: {r["doc_id"]: r["topic"] for r in mixing.pool(spark, str(tmp_path), wanted).collect()}
+    every = topics()
+    monkeypatch.setattr(mixing, "SAMPLE", 2)
+    assert topics() == every and every[121] == every[122] == "none" and len(set(every.values())) == mixing.TOPICS + 1
+    v = mixing.vectors(texts).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, b) for i, b in enumerate(mixing.packed(v).to_pylist())], "doc_id long, v binary").repartition(3)
+    for one, two in zip(mixing.fit_all(table, 3), mixing.fit_topics(v, 3)):
+        assert np.allclose(one, two, atol=1e-4)
+    assert mixing.fit_all(table.limit(0), 3)[1].shape == (0, mixing.TERMS)
+
+
 def test_shares_name_what_can_be_reached(spark, tmp_path):
     docs = [(i, f"word{i} and some more text {i}", "en", "ab"[i % 2]) for i in range(200)] + [(900, None, None, "a"), (901, "", "en", None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
