@@ -288,6 +288,66 @@ def test_common_values_lose_no_pair(spark, monkeypatch, rare):
     assert {(r["convai2_row"], r["personachat_row"]) for r in got} == want
 
 
+def shuffled(spark):
+    """Bytes of shuffle that the session's stages have written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()))
+    return sum(s.shuffleWriteBytes() for s in stages)
+
+
+def test_talks_are_not_shuffled(spark):
+    """Few rows are in a pair; the talks of the others are not written, and those of unlike pairs but as sketches."""
+    rng = random.Random(21)
+    noise = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789      ", k=k))
+    rows, want = [], set()
+    for i in range(300):
+        one, two = (json.dumps([f"i like {noise(20)}." for _ in range(4)]) for _ in range(2))
+        for c in (0, 1):
+            rows.append((i * 2 + c, one if i < 30 else json.dumps([noise(20)]), two if i < 30 else json.dumps([noise(20)]), json.dumps([{"text": noise(3000), "response": noise(3000)}])))
+        if i < 6:
+            rows[-1] = (*rows[-1][:3], rows[-2][3][:-3] + ' oh"}]')
+            want.add((i, i))
+    df = spark.createDataFrame(rows, "rid long, yours string, partners string, talk string")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, small = shuffled(spark), spark.conf.get(name)
+    spark.conf.set(name, -1)  # nothing is small, as in large tables
+    try:
+        got = matching.matches(df).collect()
+    finally:
+        spark.conf.set(name, small)
+    assert {(r["convai2_row"], r["personachat_row"]) for r in got} == want
+    assert shuffled(spark) - before < 0.5 * sum(len(r[3]) for r in rows)
+
+
+@pytest.mark.parametrize("words", [0, matching.WORDS])
+def test_rows_in_pairs_are_found(spark, monkeypatch, words):
+    monkeypatch.setattr(matching, "WORDS", words)
+    rids = [0, 1, 62, 63, 64, 127, 128, 2**40 + 63, -1, -64, -65]
+    rows = spark.createDataFrame([(r, "clash") for k in rids for r in (k, k + 3)], "rid long, word string").distinct()
+    pairs = spark.createDataFrame([(a, b) for a in rids for b in rids[:2]], "a long, b long")
+    assert sorted(r["rid"] for r in matching._paired(rows, pairs).collect()) == sorted(rids)
+
+
+def test_sketches_lose_no_talk(spark):
+    """Talks short and long, with any share of their triples in common."""
+    rng = random.Random(22)
+    texts = []
+    for n in (1, 2, 3, 4, 5, 9, 30, 200, 1500, 6000):
+        w = [f"{rng.choice(VOCABULARY)}{rng.randrange(400)}" for _ in range(n)]
+        texts += [w, w[: n // 2], w[n // 2 :] + w[: n // 3], [*w[: int(n * 0.46)], *(f"new{i}" for i in range(n))], [x if rng.random() < 0.8 else "other" for x in w]]
+    talk = [json.dumps([{"text": " ".join(w), "response": None}]) for w in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(talk)), pa.int64()), pa.array(talk)], ["rid", "talk"])
+    (out,) = matching._talks(iter([batch]))
+    sets = [set(g) for g in out.column("grams").to_pylist()]
+    assert out.column("n").to_pylist() == [len(g) for g in sets] and {len(k) for k in out.column("sketch").to_pylist()} == {matching.SKETCH}
+    known = list(zip(*(out.column(c).to_pylist() for c in ("rid", "n", "sketch"))))
+    a, b = (spark.createDataFrame(known, f"{x} long, n{x} long, k{x} array<long>") for x in "ab")
+    kept = {(r["a"], r["b"]) for r in a.crossJoin(b).where(matching._may_share()).select("a", "b").collect()}
+    alike = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if x and y and len(x & y) / min(len(x), len(y)) >= matching.TALK}
+    assert alike <= kept and len(kept) < len(sets) ** 2 * 0.8
+
+
 def test_long_runs_are_given_in_parts():
     """What is found of a run does not depend on how much of it is held."""
     rng = np.random.default_rng(4)
